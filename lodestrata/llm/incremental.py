@@ -1,10 +1,10 @@
 """Deduplicating new batches against everything accepted before, by multi-key sorted-neighbourhood runs.
 
-The history of accepted records is kept as sorted runs: parquet tables of (key, rep, s1, s2) rows clustered and sorted by
-key, each key being a number of the sort (its band) and a sort value of weighted minhashes, so that similar records are
-neighbours under some key. A batch is sorted in the same way and merged against the runs: only the windows around the new
-records, the rows of equal sort value, are compared. Accepted records form a new run; when there are too many runs they
-are compacted into one. Beside the sorted runs the history has the accepted fingerprints and word sets.
+The history of accepted records is kept as sorted runs: parquet tables of (key, rep, signature) rows clustered and sorted
+by key, each key being the number of a sort order (its band) and a sort value of weighted minhashes, so that similar
+records are neighbours under some key. A batch is sorted in the same way and merged against the runs: only the windows
+around the new records, the rows of equal sort value, are compared. Accepted records form a new run; when there are too
+many runs they are compacted into one. Beside the runs the history has the accepted fingerprints and word sets.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import wordsets
@@ -21,72 +21,74 @@ from lodestrata.storage import discard, materialize
 
 @dataclass
 class History:
-    """``runs`` (key, rep, s1, s2), ``accepted`` (fp, ck, rep, words): lists of tables in the shared folder."""
+    """``runs`` (key, rep, signature) and ``accepted`` (fp, ck, rep, words; one row a class): lists of tables in the shared folder."""
 
     signer: wordsets.Signer
     tenths: int = 7
-    miss: float = 0.001
+    miss: float = 0.01
     max_runs: int = 4
     runs: list[DataFrame] = field(default_factory=list)
     accepted: list[DataFrame] = field(default_factory=list)
 
-    def compact(self) -> None:
-        """Merge all sorted runs into one once there are more than ``max_runs``."""
+    def known(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.accepted)
+
+    def add(self, accepted: DataFrame) -> None:
+        """Keep accepted records, with a sorted run of them; more than ``max_runs`` runs are merged into one."""
+        self.accepted.append(materialize(accepted, "accepted"))
+        self.runs.append(_sorted_run(wordsets.signed(self.accepted[-1], self.signer)))
         if len(self.runs) > self.max_runs:
-            merged = _sorted_run(reduce(DataFrame.union, self.runs))
+            merged = _sorted_run(reduce(DataFrame.unionByName, self.runs))
             discard(*self.runs)
             self.runs = [merged]
 
 
 def _sorted_run(rows: DataFrame) -> DataFrame:
-    """Written in key ranges, each sorted, so that row-group statistics let a reader skip to a range."""
-    return materialize(rows.repartitionByRange("key").sortWithinPartitions("key", "rep"), "run")
+    """Written in key ranges, each sorted, so that row-group statistics let a reader skip to a range.
+
+    A key is a band number above 48 evenly spread bits, so its upper bits make ranges of about equal size.
+    """
+    return materialize(rows.repartition(F.shiftright("key", 44)).sortWithinPartitions("key", "rep"), "run")
 
 
-def _links(history: History, signed: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((a, b) both in the batch and a < b, (a, b) of a batch class a and an accepted class b): similar classes."""
-    least = wordsets.bit_thresholds(history.tenths / 10, history.miss, [64, 64])
-    near = wordsets.agreeing(F.col("x.s1"), F.col("y.s1"), F.col("x.s2"), F.col("y.s2"), least)
-    own = signed.withColumn("old", F.lit(False))
+def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((a, b) of similar classes of the batch, in both directions; (rep,) classes similar to an accepted one)."""
+    own = wordsets.signed(classes, history.signer).withColumn("old", F.lit(False))
     rows = reduce(DataFrame.unionByName, [r.withColumn("old", F.lit(True)) for r in history.runs], own)
-    met = own.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("y.old") | (F.col("x.rep") < F.col("y.rep"))) & near)
-    met = materialize(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("y.old").alias("old")).distinct(), "met")
-    inner = wordsets.verified(met.filter("not old").select("a", "b"), words, words, history.tenths)
-    if not history.accepted:
-        return inner, inner.limit(0)
-    known = reduce(DataFrame.unionByName, history.accepted).select("rep", "words")
-    return inner, wordsets.verified(met.filter("old").select("a", "b"), words, known, history.tenths)
-
-
-def accept_batch(history: History, batch: DataFrame, suppressed: DataFrame) -> DataFrame:
-    """Ids of the ``batch`` that are covered, in order of ``pos``; the others are added to the ``history``.
-
-    ``batch`` has id, pos (struct or number, unique, later than all of the history), fp (null where unknown) and words,
-    ck as of ``wordsets``; ``suppressed`` has fp. A record is covered if its fp is suppressed or accepted, or if its word
-    set is that of an accepted record or similar to it. Acceptance within the batch is decided in rounds: of the open
-    records, those that come first in their fingerprint, in their class and among the linked classes are accepted and
-    cover the rest of those groups. Every round handles all groups at once and decides at least the first open record.
+    window = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & ~(F.col("x.old") & F.col("y.old"))
+    near = rows.alias("x").join(rows.alias("y"), window & wordsets.agreeing("x", "y", history.tenths, history.miss))
+    swap = F.col("x.old")
+    ends = F.when(swap, F.col("y.rep")).otherwise(F.col("x.rep")), F.when(swap, F.col("x.rep")).otherwise(F.col("y.rep"))
+    met = near.select(ends[0].alias("a"), ends[1].alias("b"), (F.col("x.old") | F.col("y.old")).alias("old")).distinct()
+    met = materialize(met, "met") if history.runs else met
+    inner = wordsets.verified(met.filter("not old").select("a", "b"), classes, classes, history.tenths)
+    inner = materialize(inner.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b"), "links")
+    if not history.runs:
+        return inner, inner.select(F.col("a").alias("rep")).limit(0)
+    outer = wordsets.verified(met.filter("old").select("a", "b"), classes, history.known().select("rep", "words"), history.tenths)
+    return inner, outer.select(F.col("a").alias("rep")).distinct()
+
+
+def accept_batch(history: History, batch: DataFrame, texts: list[str], suppressed: DataFrame, keep: bool = True) -> DataFrame:
+    """(id,) of the ``batch`` that are covered, in order of ``pos``; the others are added to the ``history``.
+
+    ``batch`` has id, pos (struct ending in id; unique, later than all of the history), fp (null where unknown) and the
+    texts; ``suppressed`` has fp. A record is covered if its fp is suppressed or accepted, or if its word set is that of
+    an accepted record or similar to it. Acceptance within the batch is decided in rounds: of the open records, those
+    that come first in their fingerprint, in their class and among the linked classes are accepted and cover the rest of
+    those groups. Every round handles all groups at once and decides at least the first open record. Without ``keep`` the
+    history is not extended, for a last batch.
     """
-    units = batch.groupBy("fp", "ck").agg(F.min("pos").alias("pos"), F.min_by("words", "pos").alias("words"))
-    reps = units.groupBy("ck").agg(F.min("pos.id").alias("rep"))
-    units = units.join(suppressed.select("fp").distinct().withColumn("sup", F.lit(True)), "fp", "left")
-    units = units.join(reps, "ck")
-    old_fp = old_ck = None
+    cols = [batch[t] for t in texts]
+    rows = materialize(batch.select("id", "pos", "fp", wordsets.class_key(*cols).alias("ck")), "arrivals")
+    _, classes = wordsets.classes(batch, "id", texts)
+    units = rows.groupBy("fp", "ck").agg(F.min("pos").alias("pos"))
+    units = units.join(suppressed.select("fp").distinct(), "fp", "left_anti").join(classes.select("ck", "rep"), "ck")
     if history.accepted:
-        known = reduce(DataFrame.unionByName, history.accepted)
-        old_fp = known.select("fp").filter("fp is not null").distinct().withColumn("of", F.lit(True))
-        old_ck = known.select("ck").distinct().withColumn("oc", F.lit(True))
-        units = units.join(old_fp, "fp", "left").join(old_ck, "ck", "left").filter("of is null and oc is null").drop("of", "oc")
-    units = materialize(units.filter("sup is null").select("fp", "ck", "rep", "pos", "words"), "units")
-
-    words = units.groupBy("rep").agg(F.first("words").alias("words"))
-    signed = materialize(wordsets.signed(words, history.signer).repartitionByRange("key").sortWithinPartitions("key", "rep"), "signed")
-    inner, outer = _links(history, signed, words)
-    both = inner.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l"))
-    links = materialize(both.select("l.a", "l.b"), "links")
-    covered = outer.select(F.col("a").alias("rep")).distinct()
-
+        units = units.join(history.known().select("fp").distinct(), "fp", "left_anti").join(history.known().select("ck").distinct(), "ck", "left_anti")
+    links, covered = _links(history, classes)
     opened = materialize(units.join(covered, "rep", "left_anti").select("fp", "ck", "rep", "pos"), "open")
+
     taken: list[DataFrame] = []
     while not opened.isEmpty():
         by_rep = opened.groupBy("rep").agg(F.min("pos").alias("first"))
@@ -102,38 +104,35 @@ def accept_batch(history: History, batch: DataFrame, suppressed: DataFrame) -> D
         opened = materialize(left, "open")
 
     if not taken:
-        return batch.select("id")
+        return rows.select("id")
     wins = reduce(DataFrame.unionByName, taken)
-    history.accepted.append(materialize(wins.join(words, "rep").select("fp", "ck", "rep", "words"), "accepted"))
-    history.runs.append(_sorted_run(signed.join(wins.select("rep"), "rep", "left_semi")))
-    history.compact()
-    return batch.join(wins.select(F.col("pos.id").alias("id")), "id", "left_anti").select("id")
+    if keep:
+        history.add(wins.select("fp", "ck", "rep").join(classes.select("rep", "words"), "rep"))
+    return rows.join(wins.select(F.col("pos.id").alias("id")), "id", "left_anti").select("id")
 
 
 def covered(
-    spark: SparkSession, records: DataFrame, suppressed: DataFrame, texts: list[str], batch_col: str, batches: int = 2,
-    tenths: int = 7, bands: int = 14, rows: int = 4, miss: float = 0.001,
+    records: DataFrame, suppressed: DataFrame, texts: list[str], batch_col: str, batches: int = 2,
+    tenths: int = 7, bands: int = 16, rows: int = 4, miss: float = 0.01,
 ) -> DataFrame:
     """Replay ``records`` (id, ``batch_col``, fp, texts) in order of batch and id as ``batches`` arrivals; covered ids.
 
     Arrivals are ranges of ``batch_col`` with about as many records each; the result does not depend on their number.
     Null texts count as empty; records without words are only similar to records of the same text; a null batch comes
-    first; a null id is left out. Word weights come from all records.
+    first; a null id is left out; ids must be unique. Word weights come from the first arrival's classes.
     """
-    cols = [records[t] for t in texts]
-    keyed = records.filter("id is not null").select(
-        "id", F.struct(F.coalesce(batch_col, F.lit(-(2**62))).alias("batch"), F.col("id").alias("id")).alias("pos"),
-        "fp", wordsets.class_key(*cols).alias("ck"), wordsets.word_string(*cols).alias("words"),
-    )
-    keyed = materialize(keyed, "arrivals")
-    signer = wordsets.Signer(*wordsets.word_weights(keyed.select("words")), bands=bands, rows=rows)
-    history = History(signer, tenths, miss)
-    cuts = keyed.select(F.percentile_approx("pos.batch", [(i + 1) / batches for i in range(batches - 1)], 10000)).first()[0] if batches > 1 else []
+    pos = F.struct(F.coalesce(batch_col, F.lit(-(2**62))).cast("long").alias("batch"), F.col("id").alias("id"))
+    arrivals = records.filter("id is not null").select("id", pos.alias("pos"), "fp", *texts)
+    at = [(i + 1) / batches for i in range(batches - 1)]
+    cuts = arrivals.select(F.percentile_approx("pos.batch", at, 10000)).first()[0] if at else []
     edges = [None, *sorted(set(cuts or [])), None]
-    out = []
+    out, history = [], None
     for low, high in zip(edges, edges[1:]):
-        part = keyed
+        part = arrivals
         part = part if low is None else part.filter(F.col("pos.batch") > low)
         part = part if high is None else part.filter(F.col("pos.batch") <= high)
-        out.append(accept_batch(history, part, suppressed))
+        if history is None:
+            words = part.select(wordsets.word_string(*(part[t] for t in texts)).alias("words"))
+            history = History(wordsets.Signer(*wordsets.word_weights(words), bands=bands, rows=rows), tenths, miss)
+        out.append(accept_batch(history, part, texts, suppressed, keep=high is not None))
     return reduce(DataFrame.unionByName, out)

@@ -32,12 +32,12 @@ class NearDuplicates:
 
 
 def near_duplicates(
-    records: DataFrame, id_col: str, texts: list[str], tenths: int = 8, bands: int = 24, rows: int = 5, miss: float = 0.001
+    records: DataFrame, id_col: str, texts: list[str], tenths: int = 8, bands: int = 20, rows: int = 4, miss: float = 0.01
 ) -> NearDuplicates:
     """Classes of equal word sets, and all links of Jaccard similarity >= ``tenths`` / 10 between them.
 
-    Band keys of weighted minhashes bring candidates together. On each candidate two signature batches of 64 bits are
-    compared in turn; it is dropped as soon as the posterior probability of reaching the threshold falls below ``miss``.
+    Band keys of weighted minhashes bring candidates together. On each candidate three signature batches of 64 bits
+    are compared in turn; it is dropped as soon as the posterior probability of reaching the threshold falls below ``miss``.
     Survivors are verified on their whole word sets, so no link is wrong; bands and miss bound the links lost.
     Copies are one class and cost one row. There is no cap on a band's size: a large one is a skewed join, which Spark
     splits. Null texts count as empty; records without words link only to records of the same text; ids must be unique
@@ -46,10 +46,8 @@ def near_duplicates(
     records = records.filter(records[id_col].isNotNull())
     members, words = wordsets.classes(records, id_col, texts)
     signer = wordsets.Signer(*wordsets.word_weights(words), bands=bands, rows=rows)
-    least = wordsets.bit_thresholds(tenths / 10, miss, [64, 64])
     signed = wordsets.signed(words, signer)
     x, y = signed.alias("x"), signed.alias("y")
-    near = wordsets.agreeing(F.col("x.s1"), F.col("y.s1"), F.col("x.s2"), F.col("y.s2"), least)
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & near)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & wordsets.agreeing("x", "y", tenths, miss))
     candidates = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     return NearDuplicates(members, wordsets.verified(candidates, words, words, tenths))

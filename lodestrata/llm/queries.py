@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.fingerprints import fingerprint_key, strict_fingerprint
-from lodestrata.llm import incremental, neardup
+from lodestrata.llm import incremental, neardup, neighbours
 from lodestrata.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of chunks of different files, one being among the five most similar of the other."""
+    near = neighbours.nearest(table(spark, sf, "chunks"), "id", "embed_model", ["repo_path", "file_path"], "embedding")
+    return near.select(F.least("id", "neighbour").alias("chunk_id_a"), F.greatest("id", "neighbour").alias("chunk_id_b")).distinct()
+
+
 @query
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """Findings that earlier accepted ones or suppressions cover."""
@@ -27,7 +34,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     own = strict_fingerprint(*(F.col(c) for c in ("detector", "category", "file_path", "title", "context_json")))
     records = findings.select("id", "run_id", "title", "description", F.coalesce(fingerprint_key(F.col("fingerprint")), own).alias("fp"))
     suppressed = table(spark, sf, "suppressions").select(fingerprint_key(F.col("fingerprint")).alias("fp")).filter("fp is not null")
-    return incremental.covered(spark, records, suppressed, ["title", "description"], "run_id").select(F.col("id").alias("finding_id"))
+    return incremental.covered(records, suppressed, ["title", "description"], "run_id").select(F.col("id").alias("finding_id"))
 
 
 @query

@@ -8,6 +8,7 @@ cost one row. Sets without any word are only the same if their texts are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +22,35 @@ from lodestrata.storage import materialize
 #: A word in at least this part of the classes has its own weight; rarer ones share one. It bounds the broadcast table
 #: to (mean words of a class) / FREQUENT entries.
 FREQUENT = 0.001
+#: Signature batches of 64 one-bit minhashes each.
+BATCHES = 3
+SIGNATURE = [f"s{i}" for i in range(BATCHES)]
 
 
 def word_string(*texts: Column) -> Column:
     """The sorted distinct words of the texts, joined by blanks."""
     text = F.lower(F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts)))
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != ""))), " ")
+    return F.array_join(F.sort_array(F.array_distinct(F.array_remove(F.split(text, "[^a-z0-9]+"), ""))), " ")
 
 
 def class_key(*texts: Column) -> Column:
-    """16 bytes that are equal for equal word sets (for equal texts where there are no words)."""
-    words = word_string(*texts)
+    """16 bytes that are equal for equal word sets (for equal texts where there are no words).
+
+    Written so that Spark computes the words once and never in a filter: never null, no branch that holds them.
+    """
     whole = F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts))
-    return F.unhex(F.md5(F.when(words != "", words).otherwise(F.concat(F.lit("\n"), whole)).cast("binary")))
+    blank = F.when(~F.lower(whole).rlike("[a-z0-9]"), whole)
+    return F.coalesce(F.unhex(F.md5(F.concat_ws("\n", word_string(*texts), blank).cast("binary"))), F.lit(b""))
 
 
 def classes(records: DataFrame, id_col: str, texts: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(members: id, rep), (classes: rep, words), the latter written to the shared folder."""
+    """(members: id, rep), (classes: ck, rep, words), the latter written to the shared folder."""
     cols = [records[t] for t in texts]
     keyed = records.select(records[id_col].alias("id"), class_key(*cols).alias("ck"), word_string(*cols).alias("words"))
     grouped = keyed.groupBy("ck").agg(F.min("id").alias("rep"), F.first("words").alias("words"))
     grouped = materialize(grouped, "classes")
     members = keyed.select("id", "ck").join(grouped.select("ck", "rep"), "ck").select("id", "rep")
-    return members, grouped.select("rep", "words")
+    return members, grouped
 
 
 def word_weights(words: DataFrame) -> tuple[dict[str, float], float]:
@@ -84,7 +91,7 @@ def _mixed(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 class Signer:
-    """Signatures of word sets: ``bands`` keys of ``rows`` weighted minhashes, and 128 one-bit minhashes.
+    """Signatures of word sets: ``bands`` keys of ``rows`` weighted minhashes, and 192 one-bit minhashes.
 
     The weighted minhashes draw a word with a probability in proportion to its weight, so that words which most
     records share bring few records together; the one-bit minhashes are unweighted and estimate Jaccard similarity.
@@ -94,10 +101,10 @@ class Signer:
         self.weights, self.rare, self.bands, self.rows = weights, rare, bands, rows
         rng = np.random.default_rng(seed)
         self.weighted = rng.integers(1, 2**63, bands * rows, dtype=np.uint64)
-        self.plain = rng.integers(1, 2**63, 128, dtype=np.uint64)
+        self.plain = rng.integers(1, 2**63, 64 * BATCHES, dtype=np.uint64)
 
     def sign(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(keys: records x bands, int64), (bits: records x 2, int64) of non-empty word strings."""
+        """(keys: records x bands, int64), (bits: records x BATCHES, int64) of non-empty word strings."""
         lists = pc.split_pattern(words, " ")
         starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
@@ -117,8 +124,8 @@ class Signer:
                 h ^= h >> np.uint64(31)
             keys[:, b] = (np.uint64(b) << np.uint64(48) | h >> np.uint64(16)).astype(np.int64)
 
-        bits = np.zeros((len(starts), 2), np.uint64)
-        for j in range(0, 128, 16):
+        bits = np.zeros((len(starts), BATCHES), np.uint64)
+        for j in range(0, 64 * BATCHES, 16):
             low = np.minimum.reduceat(_mixed(hashes, self.plain[j : j + 16])[at], starts, axis=0) & np.uint32(1)
             for k in range(16):
                 bits[:, j // 64] |= low[:, k].astype(np.uint64) << np.uint64((j + k) % 64)
@@ -126,23 +133,27 @@ class Signer:
 
 
 def signed(words: DataFrame, signer: Signer) -> DataFrame:
-    """(key, rep, s1, s2): one row per band of every class that has words."""
+    """(key, rep, s0, s1, s2): one row per band of every class that has words."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
                 keys, bits = signer.sign(batch["words"])
                 n = keys.shape[1]
-                cols = [keys.ravel(), np.repeat(np.asarray(batch["rep"]), n), np.repeat(bits[:, 0], n), np.repeat(bits[:, 1], n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "rep", "s1", "s2"])
+                cols = [keys.ravel(), np.repeat(np.asarray(batch["rep"]), n), *(np.repeat(b, n) for b in bits.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "rep", *SIGNATURE])
 
-    return words.filter("words <> ''").select("rep", "words").mapInArrow(batches, "key long, rep long, s1 long, s2 long")
+    rows = words.filter("words <> ''").select("rep", "words")
+    return rows.mapInArrow(batches, "key long, rep long, " + ", ".join(f"{s} long" for s in SIGNATURE))
 
 
-def agreeing(a1: Column, b1: Column, a2: Column, b2: Column, least: list[int]) -> Column:
-    """Sequential test of two signature batches of 64 bits each; the second is only looked at where the first passes."""
-    first = 64 - F.bit_count(a1.bitwiseXOR(b1))
-    return (first >= least[0]) & (first + 64 - F.bit_count(a2.bitwiseXOR(b2)) >= least[1])
+def agreeing(x: str, y: str, tenths: int, miss: float) -> Column:
+    """Sequential test of the signature batches of rows ``x`` and ``y``; each is only looked at where those before pass."""
+    seen, tests = F.lit(0), []
+    for s, least in zip(SIGNATURE, bit_thresholds(tenths / 10, miss, [64] * BATCHES)):
+        seen = seen + 64 - F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}")))
+        tests.append(seen >= least)
+    return reduce(Column.__and__, tests)
 
 
 def verified(pairs: DataFrame, words_a: DataFrame, words_b: DataFrame, tenths: int) -> DataFrame:
