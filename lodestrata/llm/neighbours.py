@@ -183,7 +183,8 @@ def _hits(placed: DataFrame, least: float, k: int) -> DataFrame:
     def one(table: pa.Table) -> pa.Table:
         ids, file, held = np.asarray(table["id"]), np.asarray(table["file"]), np.asarray(table["held"])
         v = np.frombuffer(b"".join(table["v"].to_pylist()), np.float32).reshape(len(ids), -1)
-        members, out = np.flatnonzero(held), []
+        members, none = np.flatnonzero(held), np.array([], np.int64)
+        out = [(none, none, none.astype(np.float32))]  # nothing is held where all only look in
         for i in range(0, len(ids), 1024):
             for j in range(0, len(members), 4096):
                 block = members[j : j + 4096]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.fingerprints import fingerprint_key, strict_fingerprint
-from lodestrata.llm import incremental, neardup, neighbours
+from lodestrata.llm import docpairs, incremental, neardup, neighbours
 from lodestrata.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,18 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Functions and methods with a documentation that says something."""
+    return docpairs.found(table(spark, sf, "source_files")).distinct()
+
+
+@query
+def p1_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same functions with documentation and code."""
+    return docpairs.docstring_pairs(table(spark, sf, "source_files"))
+
+
 @query
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of chunks of different files, one being among the five most similar of the other."""
