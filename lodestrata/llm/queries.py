@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.fingerprints import fingerprint_key, strict_fingerprint
-from lodestrata.llm import docpairs, incremental, neardup, neighbours
+from lodestrata.llm import docpairs, incremental, neardup, neighbours, splitting
 from lodestrata.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,26 @@ def p6_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Every finding with its class of equal word sets and the number of other classes similar to it."""
     near = neardup.near_duplicates(table(spark, sf, "findings"), "id", ["title", "description"], tenths=7)
     return near.per_record().select(F.col("id").alias("finding_id"), F.col("rep").alias("class_id"), "links")
+
+
+def _chunk_items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "chunks").select(F.col("id").alias("item"), F.col("file_path").alias("path"), F.lit(None).cast("string").alias("declared"), "content")
+
+
+@query
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of oversized chunks at which new units begin."""
+    first = table(spark, sf, "chunks").filter(F.char_length("content") > 6000).select(F.col("id").alias("item"), "start_line")
+    cuts = splitting.cut_lines(_chunk_items(spark, sf)).join(first, "item")
+    line = F.when(F.col("line") < 0, 0).otherwise(F.col("start_line") + F.col("line"))
+    return cuts.select(F.col("item").alias("chunk_id"), line.cast("int").alias("cut_line"))
+
+
+@query
+def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Oversized chunks as pieces of at most 6,000 characters with their lines in the file."""
+    source = table(spark, sf, "chunks").filter(F.char_length("content") > 6000).select(F.col("id").alias("item"), "start_line", "content")
+    cut = splitting.split(_chunk_items(spark, sf)).join(source, "item")
+    text = F.substring(F.col("content"), (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
+    lines = [(F.col("start_line") + F.col(c)).cast("int").alias(n) for c, n in (("first_line", "start_line"), ("last_line", "end_line"))]
+    return cut.select(F.col("item").alias("chunk_id"), "piece", *lines, text.alias("content"))
