@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.fingerprints import fingerprint_key, strict_fingerprint
-from lodestrata.llm import docpairs, incremental, neardup, neighbours, splitting
+from lodestrata.llm import docpairs, handwritten, incremental, leakage, neardup, neighbours, splitting
 from lodestrata.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,15 @@ def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     text = F.substring(F.col("content"), (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
     lines = [(F.col("start_line") + F.col(c)).cast("int").alias(n) for c, n in (("first_line", "start_line"), ("last_line", "end_line"))]
     return cut.select(F.col("item").alias("chunk_id"), "piece", *lines, text.alias("content"))
+
+
+@query
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold passages of evaluation items."""
+    return leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+@query
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Source files that nobody here wrote by hand."""
+    return handwritten.not_handwritten(table(spark, sf, "source_files")).select("repo_path", "file_path").distinct()
