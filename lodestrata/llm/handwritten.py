@@ -160,7 +160,8 @@ def not_handwritten(files: DataFrame, sample: int = 20000, trees: int = 30, leas
     rows = materialize(described(files).withColumn("place", placed(F.col("file_path"))), "features")
     whole = (F.col("literal") >= 0.9) | (F.col("digits") >= 0.3)  # one literal makes up the file
     packed = F.coalesce(F.col("file_path"), F.lit("")).rlike(PACKED)
-    label = F.coalesce(F.col("banner") | whole | packed, F.lit(False)).cast("double")
+    dense = ~F.col("prose") & (F.col("line_mean") >= 300)  # no lines to speak of
+    label = F.coalesce(F.col("banner") | whole | packed | dense, F.lit(False)).cast("double")
     n = rows.count()
     share = min(1.0, sample / n) if n else 1.0
     code = rows.filter(~F.col("prose") & F.col("said").isNull() & ~F.col("place") | (label > 0))
@@ -168,13 +169,15 @@ def not_handwritten(files: DataFrame, sample: int = 20000, trees: int = 30, leas
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     looks = F.lit(False)
     scored = rows
-    if train.select("label").distinct().count() == 2:
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=11, minInstancesPerNode=4)
-        cases = materialize(vector.transform(train).select("label", "features"), "cases")
+    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    if len(sizes) == 2:
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=11, weightCol="weight", featureSubsetStrategy="onethird")
+        weight = F.when(F.col("label") > 0, F.lit(sizes[0.0] / sizes[1.0])).otherwise(1.0)  # both classes weigh the same
+        cases = materialize(vector.transform(train).select("label", "features", weight.alias("weight")), "cases")
         first = forest.fit(cases)
         doubtful = (F.col("label") == 0) & (vector_to_array("probability")[1] >= 0.25)  # unlabelled, but much like the labelled
-        model = forest.fit(first.transform(cases).filter(~doubtful).select("label", "features"))
+        model = forest.fit(first.transform(cases).filter(~doubtful).select("label", "features", "weight"))
         scored = model.transform(vector.transform(rows)).withColumn("p", vector_to_array("probability")[1])
         looks = ~F.col("prose") & (F.col("p") >= least)
-    reason = F.when(F.col("place"), "place").when(F.col("said").isNotNull(), F.col("said")).when(looks, "looks")
+    reason = F.when(F.col("place"), "place").when(F.col("said").isNotNull(), F.col("said")).when(looks | (whole & ~F.col("prose")), "looks")
     return scored.select("repo_path", "file_path", reason.alias("reason")).filter("reason is not null")
