@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.fingerprints import fingerprint_key, strict_fingerprint
-from lodestrata.llm import docpairs, handwritten, incremental, leakage, neardup, neighbours, splitting
+from lodestrata.llm import docpairs, handwritten, incremental, leakage, neardup, neighbours, responses, splitting
 from lodestrata.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Source files that nobody here wrote by hand."""
     return handwritten.not_handwritten(table(spark, sf, "source_files")).select("repo_path", "file_path").distinct()
+
+
+@query
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Log rows whose response is no proper answer, with the defect."""
+    return responses.defects(table(spark, sf, "llm_log")).select(F.col("id").alias("log_id"), "defect")
