@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -47,3 +48,26 @@ def discard(*tables: DataFrame) -> None:
                 jvm = spark.sparkContext._jvm
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Shared:
+    """A broadcast object of any class; executors need not be able to import that class.
+
+    ``most`` bounds its pickled size: what is broadcast must not grow with the data beyond it.
+    """
+
+    def __init__(self, spark: SparkSession, value: object, most: int = 256 << 20):
+        data = cloudpickle.dumps(value)
+        if len(data) > most:
+            raise ValueError(f"{len(data)} bytes are too many to broadcast; the bound is {most}")
+        self._data = spark.sparkContext.broadcast(data)
+        self._value: object = None
+
+    def __getstate__(self) -> dict:
+        return {"_data": self._data, "_value": None}
+
+    @property
+    def value(self) -> object:
+        if self._value is None:
+            self._value = cloudpickle.loads(self._data.value)
+        return self._value
