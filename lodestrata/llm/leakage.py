@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestrata.storage import Shared
+
 _WORD = re.compile(r"[^\W_]+")
 #: Most bytes of evaluation text that may be broadcast; larger sets are searched in several passes over the corpus.
 MOST_BYTES = 32 << 20
@@ -118,7 +120,7 @@ def leaks(documents: DataFrame, items: DataFrame, length: int = 13) -> DataFrame
 
 
 def _searched(documents: DataFrame, patterns: Patterns) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(patterns)
+    shared = Shared(documents.sparkSession, patterns)
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.storage import materialize
+from lodestrata.storage import Shared, materialize
 
 
 class Lists:
@@ -140,7 +140,7 @@ def fit(vectors: DataFrame, list_size: int, sample: int) -> dict[str, Lists]:
 
 def _placed(vectors: DataFrame, lists: dict[str, Lists], probes: int, replicas: int, slack: float) -> DataFrame:
     """(grp, list, id, file, held, v): a row for every list that a vector looks into; ``held`` where it is also held."""
-    shared = vectors.sparkSession.sparkContext.broadcast(lists)
+    shared = Shared(vectors.sparkSession, lists)
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.fingerprints import fingerprint_key, strict_fingerprint
-from lodestrata.llm import docpairs, handwritten, incremental, leakage, neardup, neighbours, responses, splitting
+from lodestrata.llm import docpairs, handwritten, incremental, leakage, neardup, neighbours, packing, responses, splitting, subjects
 from lodestrata.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,12 @@ def p7_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select(F.col("item").alias("chunk_id"), "piece", *lines, text.alias("content"))
 
 
+@query
+def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents assigned to containers of 2,048 tokens."""
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold passages of evaluation items."""
@@ -102,3 +108,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Log rows whose response is no proper answer, with the defect."""
     return responses.defects(table(spark, sf, "llm_log")).select(F.col("id").alias("log_id"), "defect")
+
+
+@query
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the subjects that a paragraph or list of them is about."""
+    return subjects.subjects_of(table(spark, sf, "documents"), table(spark, sf, "subject_examples"))
