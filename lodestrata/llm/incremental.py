@@ -69,19 +69,17 @@ def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return inner, outer.select(F.col("a").alias("rep")).distinct()
 
 
-def accept_batch(history: History, batch: DataFrame, texts: list[str], suppressed: DataFrame, keep: bool = True) -> DataFrame:
-    """(id,) of the ``batch`` that are covered, in order of ``pos``; the others are added to the ``history``.
+def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep: bool = True) -> DataFrame:
+    """(id,) of a batch's ``rows`` that are covered, in order of ``pos``; the others are added to the ``history``.
 
-    ``batch`` has id, pos (struct ending in id; unique, later than all of the history), fp (null where unknown) and the
-    texts; ``suppressed`` has fp. A record is covered if its fp is suppressed or accepted, or if its word set is that of
+    ``rows`` has id, pos (struct ending in id; unique, later than all of the history), fp (null where unknown), and ck and
+    words of ``wordsets.keyed``; as it is read several times it should be a written table. ``suppressed`` has fp. A record is covered if its fp is suppressed or accepted, or if its word set is that of
     an accepted record or similar to it. Acceptance within the batch is decided in rounds: of the open records, those
     that come first in their fingerprint, in their class and among the linked classes are accepted and cover the rest of
     those groups. Every round handles all groups at once and decides at least the first open record. Without ``keep`` the
     history is not extended, for a last batch.
     """
-    cols = [batch[t] for t in texts]
-    rows = materialize(batch.select("id", "pos", "fp", wordsets.class_key(*cols).alias("ck")), "arrivals")
-    _, classes = wordsets.classes(batch, "id", texts)
+    classes = wordsets.classes(rows)
     units = rows.groupBy("fp", "ck").agg(F.min("pos").alias("pos"))
     units = units.join(suppressed.select("fp").distinct(), "fp", "left_anti").join(classes.select("ck", "rep"), "ck")
     if history.accepted:
@@ -122,7 +120,7 @@ def covered(
     first; a null id is left out; ids must be unique. Word weights come from the first arrival's classes.
     """
     pos = F.struct(F.coalesce(batch_col, F.lit(-(2**62))).cast("long").alias("batch"), F.col("id").alias("id"))
-    arrivals = records.filter("id is not null").select("id", pos.alias("pos"), "fp", *texts)
+    arrivals = materialize(wordsets.keyed(records.filter("id is not null"), texts, "id", pos.alias("pos"), "fp"), "arrivals")
     at = [(i + 1) / batches for i in range(batches - 1)]
     cuts = arrivals.select(F.percentile_approx("pos.batch", at, 10000)).first()[0] if at else []
     edges = [None, *sorted(set(cuts or [])), None]
@@ -132,7 +130,6 @@ def covered(
         part = part if low is None else part.filter(F.col("pos.batch") > low)
         part = part if high is None else part.filter(F.col("pos.batch") <= high)
         if history is None:
-            words = part.select(wordsets.word_string(*(part[t] for t in texts)).alias("words"))
-            history = History(wordsets.Signer(*wordsets.word_weights(words), bands=bands, rows=rows), tenths, miss)
-        out.append(accept_batch(history, part, texts, suppressed, keep=high is not None))
+            history = History(wordsets.Signer(*wordsets.word_weights(part.select("words")), bands=bands, rows=rows), tenths, miss)
+        out.append(accept_batch(history, part, suppressed, keep=high is not None))
     return reduce(DataFrame.unionByName, out)

@@ -43,8 +43,9 @@ def near_duplicates(
     splits. Null texts count as empty; records without words link only to records of the same text; ids must be unique
     and not null (rows with a null id are left out); other columns are ignored; an empty table gives empty results.
     """
-    records = records.filter(records[id_col].isNotNull())
-    members, words = wordsets.classes(records, id_col, texts)
+    keys = wordsets.keyed(records.filter(records[id_col].isNotNull()), texts, records[id_col].alias("id"))
+    words = wordsets.classes(keys)
+    members = keys.select("id", "ck").join(words.select("ck", "rep"), "ck").select("id", "rep")
     signer = wordsets.Signer(*wordsets.word_weights(words), bands=bands, rows=rows)
     signed = wordsets.signed(words, signer)
     x, y = signed.alias("x"), signed.alias("y")

@@ -43,20 +43,21 @@ def class_key(*texts: Column) -> Column:
     return F.coalesce(F.unhex(F.md5(F.concat_ws("\n", word_string(*texts), blank).cast("binary"))), F.lit(b""))
 
 
-def classes(records: DataFrame, id_col: str, texts: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(members: id, rep), (classes: ck, rep, words), the latter written to the shared folder."""
+def keyed(records: DataFrame, texts: list[str], *others: Column | str) -> DataFrame:
+    """(others..., ck, words) of records."""
     cols = [records[t] for t in texts]
-    keyed = records.select(records[id_col].alias("id"), class_key(*cols).alias("ck"), word_string(*cols).alias("words"))
-    grouped = keyed.groupBy("ck").agg(F.min("id").alias("rep"), F.first("words").alias("words"))
-    grouped = materialize(grouped, "classes")
-    members = keyed.select("id", "ck").join(grouped.select("ck", "rep"), "ck").select("id", "rep")
-    return members, grouped
+    return records.select(*others, class_key(*cols).alias("ck"), word_string(*cols).alias("words"))
+
+
+def classes(keys: DataFrame) -> DataFrame:
+    """(ck, rep, words) of keyed records (id, ck, words), written to the shared folder."""
+    return materialize(keys.groupBy("ck").agg(F.min("id").alias("rep"), F.first("words").alias("words")), "classes")
 
 
 def word_weights(words: DataFrame) -> tuple[dict[str, float], float]:
     """Weights log(classes / classes with the word) of the frequent words, and the weight of all others.
 
-    One pass over all classes; only words in a FREQUENT part of them come to the driver.
+    One pass over all classes; only words in a FREQUENT part of them come to the driver. Copies may be among the rows.
     """
     n = max(1, words.count())
     counted = words.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").count()
