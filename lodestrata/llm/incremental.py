@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import wordsets
@@ -23,9 +23,11 @@ from lodestrata.storage import discard, materialize
 class History:
     """``runs`` (key, rep, signature) and ``accepted`` (fp, ck, rep, words; one row a class): lists of tables in the shared folder."""
 
-    signer: wordsets.Signer
+    signer: wordsets.Signer | None = None  # made from the first batch's words
     tenths: int = 7
     miss: float = 0.01
+    bands: int = 16
+    rows: int = 4
     max_runs: int = 4
     runs: list[DataFrame] = field(default_factory=list)
     accepted: list[DataFrame] = field(default_factory=list)
@@ -72,18 +74,23 @@ def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep: bool = True) -> DataFrame:
     """(id,) of a batch's ``rows`` that are covered, in order of ``pos``; the others are added to the ``history``.
 
-    ``rows`` has id, pos (struct ending in id; unique, later than all of the history), fp (null where unknown), and ck and
-    words of ``wordsets.keyed``; as it is read several times it should be a written table. ``suppressed`` has fp. A record is covered if its fp is suppressed or accepted, or if its word set is that of
+    ``rows`` has id, pos (a number; unique, later than all of the history), fp (null where unknown), and ck and words of
+    ``wordsets.keyed``; as it is read several times it should be a written table. ``suppressed`` has fp. A record is covered if its fp is suppressed or accepted, or if its word set is that of
     an accepted record or similar to it. Acceptance within the batch is decided in rounds: of the open records, those
     that come first in their fingerprint, in their class and among the linked classes are accepted and cover the rest of
     those groups. Every round handles all groups at once and decides at least the first open record. Without ``keep`` the
     history is not extended, for a last batch.
     """
     classes = wordsets.classes(rows)
+    if history.signer is None:
+        history.signer = wordsets.Signer(*wordsets.word_weights(classes), bands=history.bands, rows=history.rows)
     units = rows.groupBy("fp", "ck").agg(F.min("pos").alias("pos"))
-    units = units.join(suppressed.select("fp").distinct(), "fp", "left_anti").join(classes.select("ck", "rep"), "ck")
+    blocked = suppressed.select("fp")
     if history.accepted:
-        units = units.join(history.known().select("fp").distinct(), "fp", "left_anti").join(history.known().select("ck").distinct(), "ck", "left_anti")
+        blocked = blocked.unionByName(history.known().select("fp"))
+    units = units.join(blocked, "fp", "left_anti").join(classes.select("ck", "rep"), "ck")
+    if history.accepted:
+        units = units.join(history.known().select("ck"), "ck", "left_anti")
     links, covered = _links(history, classes)
     opened = materialize(units.join(covered, "rep", "left_anti").select("fp", "ck", "rep", "pos"), "open")
 
@@ -106,7 +113,7 @@ def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep:
     wins = reduce(DataFrame.unionByName, taken)
     if keep:
         history.add(wins.select("fp", "ck", "rep").join(classes.select("rep", "words"), "rep"))
-    return rows.join(wins.select(F.col("pos.id").alias("id")), "id", "left_anti").select("id")
+    return rows.join(wins.select("pos"), "pos", "left_anti").select("id")
 
 
 def covered(
@@ -119,17 +126,25 @@ def covered(
     Null texts count as empty; records without words are only similar to records of the same text; a null batch comes
     first; a null id is left out; ids must be unique. Word weights come from the first arrival's classes.
     """
-    pos = F.struct(F.coalesce(batch_col, F.lit(-(2**62))).cast("long").alias("batch"), F.col("id").alias("id"))
-    arrivals = materialize(wordsets.keyed(records.filter("id is not null"), texts, "id", pos.alias("pos"), "fp"), "arrivals")
-    at = [(i + 1) / batches for i in range(batches - 1)]
-    cuts = arrivals.select(F.percentile_approx("pos.batch", at, 10000)).first()[0] if at else []
-    edges = [None, *sorted(set(cuts or [])), None]
-    out, history = [], None
-    for low, high in zip(edges, edges[1:]):
+    records = records.filter("id is not null").withColumn("_b", F.coalesce(F.col(batch_col).cast("long"), F.lit(-1 << 62)))
+    at = [(i + 1) / batches for i in range(batches - 1)] or [1.0]
+    cuts, low_b, high_b, low, high = records.agg(F.percentile_approx("_b", at, 10000), F.min("_b"), F.max("_b"), F.min("id"), F.max("id")).first()
+    edges = [None, *(sorted(set(cuts)) if batches > 1 and cuts else []), None]
+    pos = _position(low_b or 0, high_b or 0, low or 0, high or 0)
+    arrivals = materialize(wordsets.keyed(records, texts, "id", F.col("_b").alias("batch"), pos.alias("pos"), "fp"), "arrivals")
+    out, history = [], History(None, tenths, miss, bands, rows)
+    for after, upto in zip(edges, edges[1:]):
         part = arrivals
-        part = part if low is None else part.filter(F.col("pos.batch") > low)
-        part = part if high is None else part.filter(F.col("pos.batch") <= high)
-        if history is None:
-            history = History(wordsets.Signer(*wordsets.word_weights(part.select("words")), bands=bands, rows=rows), tenths, miss)
-        out.append(accept_batch(history, part, suppressed, keep=high is not None))
+        part = part if after is None else part.filter(F.col("batch") > after)
+        part = part if upto is None else part.filter(F.col("batch") <= upto)
+        out.append(accept_batch(history, part, suppressed, keep=upto is not None))
     return reduce(DataFrame.unionByName, out)
+
+
+def _position(low_b: int, high_b: int, low: int, high: int) -> Column:
+    """A number that orders by batch (column _b), then id: a long where both spans fit into one, else a decimal."""
+    width = (high - low).bit_length()
+    if width + (high_b - low_b).bit_length() <= 62:
+        return F.shiftleft(F.col("_b") - low_b, width) + (F.col("id") - low)
+    wide = "decimal(38,0)"
+    return ((F.col("_b").cast(wide) - F.lit(low_b).cast(wide)) * F.lit(str(1 << width)).cast("decimal(19,0)") + (F.col("id").cast(wide) - F.lit(low).cast(wide))).cast(wide)
