@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions import fingerprints
-from lodestrata.operators import chunks, evaluation, findings, logs, runs
+from lodestrata.functions import code, fingerprints
+from lodestrata.operators import chunks, detectors, evaluation, extract, findings, logs, runs
+from lodestrata.sources import repository
 from lodestrata.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -404,3 +405,90 @@ def vector_search(spark: SparkSession, sf: str) -> DataFrame:
     """Five nearest vectors for every vector whose id is divisible by 20, among all, exactly."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return chunks.search(v, v.filter("id % 20 = 0").withColumnRenamed("id", "query_id"))
+
+
+# --- detectors over source files ------------------------------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return repository.numbered_lines(table(spark, sf, "source_files"))
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.facts(table(spark, sf, "source_files"))
+
+
+@query(
+    f"SELECT repo_path, file_path, len({_LINES})::BIGINT AS lines, CASE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript' WHEN 'go' THEN 'go' WHEN 'md' THEN 'markdown' END AS language FROM source_files WHERE content IS NOT NULL"
+)
+def file_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of lines and language of every file."""
+    rows = table(spark, sf, "source_files").filter("content is not null")
+    return rows.select("repo_path", "file_path", F.size(code.lines(F.col("content"))).cast("long").alias("lines"), code.language(F.col("file_path")).alias("language"))
+
+
+@query()
+def detect_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """TODO, FIXME, HACK and XXX comments."""
+    return detectors.markers(_lines(spark, sf))
+
+
+@query()
+def detect_complexity(spark: SparkSession, sf: str) -> DataFrame:
+    """Python functions that are too complex or too long."""
+    return detectors.complex_functions(_facts(spark, sf))
+
+
+@query()
+def detect_dead_code(spark: SparkSession, sf: str) -> DataFrame:
+    """Public Python symbols that nothing imports."""
+    return detectors.dead_symbols(_facts(spark, sf))
+
+
+@query()
+def detect_stale_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Markdown links and paths in code spans that lead nowhere."""
+    lines, files = _lines(spark, sf), table(spark, sf, "source_files")
+    return detectors.union(detectors.stale_links(lines, files), detectors.stale_inline_paths(lines, files))
+
+
+@query()
+def detect_layer_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Imports against the order tests, app, lib and one prohibition."""
+    return detectors.layer_violations(detectors.import_edges(_facts(spark, sf)), ["tests", "app", "packages", "lib"], ["shared"], [("app", "tests")])
+
+
+@query()
+def extract_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Python functions and methods with their measures."""
+    return extract.functions(_facts(spark, sf))
+
+
+@query()
+def extract_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.classes(_facts(spark, sf))
+
+
+@query()
+def extract_imports(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.imports(_facts(spark, sf))
+
+
+@query()
+def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections of Markdown files from heading to heading."""
+    return detectors.sections(_lines(spark, sf).filter(F.endswith("file_path", F.lit(".md"))))
+
+
+@query()
+def test_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Tests with the functions they name."""
+    return detectors.test_implementation_pairs(_facts(spark, sf))
+
+
+@query("SELECT id, substr(sha256(prompt),1,16) AS prompt_hash, coalesce(r.response,'{}') AS response, r.response IS NOT NULL AS matched FROM (SELECT DISTINCT ON (id) * FROM llm_log) l LEFT JOIN (SELECT substr(sha256(prompt),1,16) AS h, min(response) AS response FROM llm_log WHERE id % 2 = 0 AND response IS NOT NULL GROUP BY 1) r ON r.h = substr(sha256(prompt),1,16)")
+def replayed_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every prompt with the response recorded for it under an even id, else a default."""
+    log = table(spark, sf, "llm_log")
+    hashed = log.filter("id % 2 = 0 and response is not null").groupBy(F.substring(F.sha2("prompt", 256), 1, 16).alias("prompt_hash")).agg(F.min("response").alias("response"))
+    return detectors.replayed(logs.delivered_once(log).select("id", "prompt"), hashed)
