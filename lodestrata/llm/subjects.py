@@ -61,13 +61,12 @@ def items(sentence: str) -> list[str]:
 class Rules:
     """Class-association rules: antecedents of up to three items with the log-odds of each subject."""
 
-    def __init__(self, counted: list[tuple[tuple[str, ...], str, int]], totals: dict[str, int], subjects: list[str], smoothing: float = 0.5, margin: float = 2.0):
+    def __init__(self, counted: list[tuple[tuple[str, ...], str, int]], totals: dict[str, int], subjects: list[str], smoothing: float = 0.1, margin: float = 2.0):
         self.subjects, self.margin = subjects, margin
         by: dict[tuple[str, ...], Counter] = {}
         for antecedent, subject, n in counted:
             by.setdefault(tuple(sorted(antecedent)), Counter())[subject] += n
         k = len(subjects)
-        prior = {s: 1 / k for s in subjects}
         mean = sum(totals.values()) / k if totals else 1
         self.rules: dict[tuple[str, ...], tuple[str, float]] = {}
         for antecedent in sorted(by, key=lambda a: (len(a), a)):
@@ -76,7 +75,7 @@ class Rules:
             if not total:
                 continue
             best = max(counts, key=lambda s: (counts[s], s))
-            sure = (counts[best] + smoothing * k * prior[best] * 0.2) / (total + smoothing * k * 0.2)
+            sure = (counts[best] + smoothing) / (total + smoothing * k)
             general = [self.rules[a] for a in self._parts(antecedent) if a in self.rules]
             if sure < 0.5 or any(s == best and c >= sure for s, c in general):
                 continue  # says nothing, or nothing that a part of it doesn't say
@@ -176,7 +175,7 @@ def learn(examples: DataFrame, documents: DataFrame, sample: int = 4000, rounds:
     subjects = sorted(r["subject"] for r in examples.select("subject").distinct().collect() if r["subject"])
     own = _sentences(examples)
     rules = mine(own, subjects, margin=1.0)
-    for _ in range(rounds):
+    for _ in range(rounds if subjects else 0):
         more = materialize(own.unionByName(_sure(documents, rules, sample)), "sentences")
         rules = mine(more, [*subjects, NONE], support=0.0002)
     return rules
