@@ -301,7 +301,8 @@ def dead_symbols(facts: DataFrame) -> DataFrame:
     own = own.filter(~F.startswith("name", F.lit("_")) & ~F.col("name").isin(ENTRY_NAMES) & ~F.col("name").rlike("^(?:pytest_|build_|get_requires_for_|prepare_metadata_)"))
     own = own.filter(~code.is_test_file(F.col("file_path")) & ~code.basename(F.col("file_path")).isin("conftest.py", "setup.py", "__init__.py"))
     own = own.join(lists, ["repo_path", "file_path"], "left").join(listed.withColumn("_in", F.lit(True)), ["repo_path", "file_path", "name"], "left").filter("_lists is null or _in")
-    names = facts.filter("kind in ('import', 'from')").select("repo_path", F.explode(F.array_compact(F.array(F.when(F.col("kind") == "import", F.col("parent")).otherwise(F.coalesce("doc", "name")), "name"))).alias("name")).distinct()
+    bound = F.when(F.col("kind") == "import", F.col("parent")).otherwise(F.coalesce("doc", "name"))  # the name in the importing module
+    names = facts.filter("kind in ('import', 'from')").select("repo_path", bound.alias("name")).distinct()
     rows = own.join(names, ["repo_path", "name"], "left_anti").withColumn("_m", F.split(code.module_name(F.col("file_path")), r"\."))
     modules = facts.filter("kind = 'import'").select("repo_path", F.col("name").alias("_p")).distinct()
     keyed = rows.select("repo_path", "file_path", F.explode(F.transform(F.sequence(F.lit(1), F.size("_m")), lambda n: F.array_join(F.slice(F.col("_m"), F.lit(1), n), "."))).alias("_p")).distinct()

@@ -11,6 +11,7 @@ from lodestrata.functions import code, fingerprints
 from lodestrata.operators import chunks, detectors, evaluation, extract, findings, logs, runs
 from lodestrata.sources import repository
 from lodestrata.sources.tables import table
+from lodestrata.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -414,8 +415,10 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return repository.numbered_lines(table(spark, sf, "source_files"))
 
 
-def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.facts(table(spark, sf, "source_files"))
+def _facts(spark: SparkSession, sf: str, once: bool = False) -> DataFrame:
+    """Facts of the Python files; written down where a plan reads them several times, so that files are parsed once."""
+    rows = extract.facts(table(spark, sf, "source_files"))
+    return rows if once else materialize(rows, "facts")
 
 
 @query(
@@ -436,7 +439,7 @@ def detect_markers(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def detect_complexity(spark: SparkSession, sf: str) -> DataFrame:
     """Python functions that are too complex or too long."""
-    return detectors.complex_functions(_facts(spark, sf))
+    return detectors.complex_functions(_facts(spark, sf, once=True))
 
 
 @query()
@@ -455,23 +458,23 @@ def detect_stale_links(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def detect_layer_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Imports against the order tests, app, lib and one prohibition."""
-    return detectors.layer_violations(detectors.import_edges(_facts(spark, sf)), ["tests", "app", "packages", "lib"], ["shared"], [("app", "tests")])
+    return detectors.layer_violations(detectors.import_edges(_facts(spark, sf, once=True)), ["tests", "app", "packages", "lib"], ["shared"], [("app", "tests")])
 
 
 @query()
 def extract_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Python functions and methods with their measures."""
-    return extract.functions(_facts(spark, sf))
+    return extract.functions(_facts(spark, sf, once=True))
 
 
 @query()
 def extract_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.classes(_facts(spark, sf))
+    return extract.classes(_facts(spark, sf, once=True))
 
 
 @query()
 def extract_imports(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.imports(_facts(spark, sf))
+    return extract.imports(_facts(spark, sf, once=True))
 
 
 @query()
