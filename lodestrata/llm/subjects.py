@@ -119,7 +119,7 @@ def mine(labelled: DataFrame, subjects: list[str], support: float = 0.0, least:
     Words spread evenly over subjects are left out before mining, as no rule needs them; a sentence keeps its ``widest``
     surest words, which bounds the itemsets that one repeated sentence has.
     """
-    cut = F.udf(items, "array<string>")
+    cut = F.udf(lambda t: items(t), "array<string>")
     rows = labelled.select("subject", cut("sentence").alias("items"))
     totals = {r["subject"]: r["count"] for r in labelled.groupBy("subject").count().collect()}
     n = sum(totals.values())
