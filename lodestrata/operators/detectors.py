@@ -422,3 +422,31 @@ def replayed(prompts: DataFrame, recordings: DataFrame, default: str = "{}") ->
     """Prompts (id, prompt) with the recorded response of the same prompt (prompt_hash, response), else a default."""
     keyed = prompts.withColumn("prompt_hash", F.substring(F.sha2("prompt", 256), 1, 16))
     return keyed.join(recordings.select("prompt_hash", "response").dropDuplicates(["prompt_hash"]), "prompt_hash", "left").select("id", "prompt_hash", F.coalesce("response", F.lit(default)).alias("response"), F.col("response").isNotNull().alias("matched"))
+
+
+def documented(facts: DataFrame, least: int = 30) -> DataFrame:
+    """(repo_path, file_path, name, line, end_line, doc): functions, methods and classes with a docstring of ``least`` characters."""
+    rows = facts.filter(F.col("kind").isin("function", "method", "class") & (F.length("doc") >= least))
+    return rows.select("repo_path", "file_path", "name", "line", "end_line", "doc")
+
+
+def intent_artifacts(facts: DataFrame, sections_: DataFrame, least: int = 3, per_file: int = 10) -> DataFrame:
+    """(repo_path, file_path, name, line, end_line, doc, tests, sections, artifacts): symbols with at least ``least`` kinds of
+    statement about them: code, docstring, tests that name them, document sections that quote them.
+
+    At most three tests and two sections of a symbol come along, and ``per_file`` symbols of a file: budgets of the judge
+    that reads them, ordered by name and line.
+    """
+    own = facts.filter(F.col("kind").isin("function", "method") & ~code.is_test_file(F.col("file_path")) & (F.col("end_line") - F.col("line") >= 3))
+    own = own.select("repo_path", "file_path", "name", "line", "end_line", F.nullif(F.trim("doc"), F.lit("")).alias("doc"))
+    tests = test_implementation_pairs(facts)
+    by_test = Window.partitionBy("repo_path", "file_path", "name").orderBy("test_path", "test_name")
+    tests = tests.withColumn("_n", F.row_number().over(by_test)).filter("_n <= 3").groupBy("repo_path", "file_path", "name").agg(F.sort_array(F.collect_list("test_name")).alias("tests"))
+    quoted = sections_.select("repo_path", F.col("file_path").alias("_d"), "title", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(r"`([A-Za-z_]\w*)(?:\(\))?`"), 1))).alias("name"))
+    by_name = Window.partitionBy("repo_path", "name").orderBy("_d", "title")
+    quoted = quoted.withColumn("_n", F.row_number().over(by_name)).filter("_n <= 2").groupBy("repo_path", "name").agg(F.sort_array(F.collect_list("title")).alias("sections"))
+    rows = own.join(tests, ["repo_path", "file_path", "name"], "left").join(quoted, ["repo_path", "name"], "left")
+    count = F.lit(1) + F.col("doc").isNotNull().cast("int") + F.col("tests").isNotNull().cast("int") + F.col("sections").isNotNull().cast("int")
+    rows = rows.withColumn("artifacts", count).filter(F.col("artifacts") >= least)
+    first = Window.partitionBy("repo_path", "file_path").orderBy("line")
+    return rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_file).drop("_n")

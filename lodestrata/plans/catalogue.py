@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import code, fingerprints
-from lodestrata.operators import chunks, detectors, evaluation, extract, findings, logs, runs
+from lodestrata.operators import chunks, detectors, evaluation, extract, findings, logs, runs, scripts
 from lodestrata.sources import repository
 from lodestrata.sources.tables import table
 from lodestrata.storage import materialize
@@ -448,6 +448,22 @@ def detect_dead_code(spark: SparkSession, sf: str) -> DataFrame:
     return detectors.dead_symbols(_facts(spark, sf))
 
 
+@query()
+def detect_dead_exports(spark: SparkSession, sf: str) -> DataFrame:
+    """JavaScript and TypeScript exports that nothing imports."""
+    return scripts.dead_exports(table(spark, sf, "source_files"))
+
+
+@query(
+    "SELECT repo_path, file_path, m.module AS module, count(*) AS names FROM (SELECT repo_path, file_path, unnest(regexp_extract_all(content, 'import\s+(?:\{[^}]*\}|[\w$]+)\s+from\s+[''\"]([^''\"]+)[''\"]', 1)) AS module FROM source_files"
+    " WHERE regexp_matches(file_path, '\.(js|ts)$')) m GROUP BY ALL"
+)
+def script_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Modules that scripts import, with the number of names."""
+    rows = scripts.imports(table(spark, sf, "source_files")).filter("name <> '' and name <> '*'")
+    return rows.groupBy("repo_path", "file_path", "module").agg(F.count("*").alias("names"))
+
+
 @query()
 def detect_stale_links(spark: SparkSession, sf: str) -> DataFrame:
     """Markdown links and paths in code spans that lead nowhere."""

@@ -9,22 +9,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.fingerprints import fuzzy_fingerprint, strict_fingerprint
-from lodestrata.operators import detectors, extract, findings
+from lodestrata.operators import detectors, extract, findings, scripts
 from lodestrata.plans.store import Store
 from lodestrata.sources import repository
 from lodestrata.storage import materialize
 
+
+def documented_dependencies(tables: dict[str, DataFrame]) -> DataFrame:
+    """Packages that documents install, against what Python and JavaScript manifests declare and name."""
+    lines, texts = tables["lines"], tables["texts"]
+    declared = detectors.declared_dependencies(lines).select("repo_path", "package").unionByName(scripts.declared(texts).select("repo_path", "package"))
+    name = F.regexp_extract("text", r"^\s*\"?name\"?\s*[=:]\s*[\"']([^\"']+)", 1)
+    manifests = lines.filter(F.col("file_path").rlike(r"(?:^|/)(?:pyproject\.toml|package\.json)$"))
+    return scripts.dependency_drift(lines, declared, manifests.select("repo_path", name.alias("name")).filter("name <> ''"))
+
+
 Detector = Callable[[dict[str, DataFrame]], DataFrame]
 #: Detectors by name, in the order in which equal findings win.
 REGISTRY: dict[str, Detector] = {
     "cicd-drift": lambda r: detectors.stale_ci_paths(r["lines"], r["files"]),
     "complexity": lambda r: detectors.complex_functions(r["facts"]),
-    "dead-code": lambda r: detectors.dead_symbols(r["facts"]),
-    "docs-drift": lambda r: detectors.union(detectors.stale_links(r["lines"], r["files"]), detectors.stale_inline_paths(r["lines"], r["files"])),
+    "dead-code": lambda r: detectors.union(detectors.dead_symbols(r["facts"]), scripts.dead_exports(r["texts"])),
+    "docs-drift": lambda r: detectors.union(detectors.stale_links(r["lines"], r["files"]), detectors.stale_inline_paths(r["lines"], r["files"]), documented_dependencies(r)),
     "git-hotspots": lambda r: detectors.hotspots(detectors.churn(r["commits"])),
     "stale-env": lambda r: detectors.env_drift(r["lines"]),
     "todo-scanner": lambda r: detectors.markers(r["lines"]),
-    "unused-deps": lambda r: detectors.unused_dependencies(detectors.declared_dependencies(r["lines"]), extract.imports(r["facts"])),
+    "unused-deps": lambda r: detectors.union(detectors.unused_dependencies(detectors.declared_dependencies(r["lines"]), extract.imports(r["facts"])), scripts.unused_packages(r["texts"])),
 }
 
 
@@ -34,14 +44,14 @@ def register(name: str, detector: Detector) -> None:
 
 
 def relations(files: DataFrame, commits: DataFrame | None = None, changed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """What detectors read, each written once: files, lines, facts, commits.
+    """What detectors read, each written once: files, texts, lines, facts, commits.
 
     With ``changed`` (repo_path, file_path) lines and facts are those of changed files only, while paths are looked up among
     all files.
     """
     scope = files if changed is None else files.join(changed, ["repo_path", "file_path"], "left_semi")
     none = files.select("repo_path", "file_path", F.lit("").alias("author"), F.lit("").alias("subject")).limit(0)
-    return {"files": files.select("repo_path", "file_path"), "lines": materialize(repository.numbered_lines(scope), "lines"), "facts": materialize(extract.facts(scope), "facts"), "commits": none if commits is None else commits}
+    return {"files": files.select("repo_path", "file_path"), "texts": scope, "lines": materialize(repository.numbered_lines(scope), "lines"), "facts": materialize(extract.facts(scope), "facts"), "commits": none if commits is None else commits}
 
 
 def detect(tables: dict[str, DataFrame], enabled: list[str] | None = None, disabled: list[str] = ()) -> tuple[DataFrame | None, dict[str, str]]:

@@ -157,3 +157,12 @@ def test_replay(spark):
     prompts = spark.createDataFrame([(1, "a"), (2, "b")], "id long, prompt string")
     recorded = spark.createDataFrame([("a", "yes")], "p string, response string").select(F.substring(F.sha2("p", 256), 1, 16).alias("prompt_hash"), "response")
     assert {(r["id"], r["response"], r["matched"]) for r in detectors.replayed(prompts, recorded).collect()} == {(1, "yes", True), (2, "{}", False)}
+
+
+def test_intent_artifacts(spark):
+    long = 'def load_box():\n    """Loads the box from the far side of it."""\n    a = 1\n    b = 2\n    return a\n'
+    files = [("r", "src/a.py", long + "def bare():\n    a = 1\n    b = 2\n    c = 3\n    return a\n"), ("r", "tests/test_a.py", "def test_load_box(): pass\ndef test_load_box_twice(): pass\n"), ("r", "d.md", "# Boxes\nuse `load_box()` first\n")]
+    facts = extract.facts(make(spark, files))
+    found = detectors.intent_artifacts(facts, detectors.sections(lines_of(spark, files).filter("file_path = 'd.md'"))).collect()
+    assert [(r["name"], r["tests"], r["sections"], r["artifacts"]) for r in found] == [("load_box", ["test_load_box", "test_load_box_twice"], ["Boxes"], 4)]
+    assert [r["name"] for r in detectors.documented(facts).collect()] == ["load_box"]

@@ -33,6 +33,12 @@ def test_scan_twice(spark, tmp_path):
     assert [r["repo_path"] for r in scan.detect(scan.relations(corpus(spark), changed=changed))[0].collect()] == ["q"]
 
 
+def test_manifests_meet_documents(spark):
+    files = spark.createDataFrame([("r", "README.md", "```\npip install box other own-name\nnpm install pad\n```\n", ), ("r", "pyproject.toml", '[project]\nname = "own_name"\ndependencies = ["Box>=1"]\n'), ("r", "package.json", '{"name": "x", "dependencies": {"pad": "1"}}')], FILES)
+    found, failed = scan.detect(scan.relations(files), enabled=["docs-drift"])
+    assert not failed and [r["title"] for r in found.collect()] == ["Dependency drift: `other` in docs but not in project"]
+
+
 def test_one_failing_detector_costs_only_itself(spark, monkeypatch):
     monkeypatch.setattr(scan, "REGISTRY", {**scan.REGISTRY, "broken": lambda r: r["lines"].select(F.raise_error(F.lit("no")).alias("x"))})
     found, failed = scan.detect(scan.relations(corpus(spark)), enabled=["broken", "todo-scanner"])
