@@ -29,10 +29,13 @@ def new_path(spark: SparkSession, name: str = "t") -> str:
     return f"{shared_dir(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder once and return a DataFrame that reads it, so that no lineage is left."""
+def materialize(df: DataFrame, name: str = "t", dictionary: bool = True) -> DataFrame:
+    """Write ``df`` to the shared folder once and return a DataFrame that reads it, so that no lineage is left.
+
+    Without ``dictionary`` values are not looked up for repetition: cheaper where nearly all are different.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
