@@ -37,7 +37,7 @@ class History:
 
     def add(self, accepted: DataFrame) -> None:
         """Keep accepted records, with a sorted run of them; more than ``max_runs`` runs are merged into one."""
-        self.accepted.append(materialize(accepted, "accepted"))
+        self.accepted.append(materialize(accepted, "accepted", dictionary=False))
         self.runs.append(_sorted_run(wordsets.signed(self.accepted[-1], self.signer)))
         if len(self.runs) > self.max_runs:
             merged = _sorted_run(reduce(DataFrame.unionByName, self.runs))
@@ -50,7 +50,7 @@ def _sorted_run(rows: DataFrame) -> DataFrame:
 
     A key is a band number above 48 evenly spread bits, so its upper bits make ranges of about equal size.
     """
-    return materialize(rows.repartition(F.shiftright("key", 44)).sortWithinPartitions("key", "rep"), "run")
+    return materialize(rows.repartition(F.shiftright("key", 44)).sortWithinPartitions("key", "rep"), "run", dictionary=False)
 
 
 def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,9 +62,9 @@ def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     swap = F.col("x.old")
     ends = F.when(swap, F.col("y.rep")).otherwise(F.col("x.rep")), F.when(swap, F.col("x.rep")).otherwise(F.col("y.rep"))
     met = near.select(ends[0].alias("a"), ends[1].alias("b"), (F.col("x.old") | F.col("y.old")).alias("old")).distinct()
-    met = materialize(met, "met") if history.runs else met
+    met = materialize(met, "met", dictionary=False) if history.runs else met
     inner = wordsets.verified(met.filter("not old").select("a", "b"), classes, classes, history.tenths)
-    inner = materialize(inner.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b"), "links")
+    inner = materialize(inner.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b"), "links", dictionary=False)
     if not history.runs:
         return inner, inner.select(F.col("a").alias("rep")).limit(0)
     outer = wordsets.verified(met.filter("old").select("a", "b"), classes, history.known().select("rep", "words"), history.tenths)
@@ -92,7 +92,7 @@ def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep:
     if history.accepted:
         units = units.join(history.known().select("ck"), "ck", "left_anti")
     links, covered = _links(history, classes)
-    opened = materialize(units.join(covered, "rep", "left_anti").select("fp", "ck", "rep", "pos"), "open")
+    opened = materialize(units.join(covered, "rep", "left_anti").select("fp", "ck", "rep", "pos"), "open", dictionary=False)
 
     taken: list[DataFrame] = []
     while not opened.isEmpty():
@@ -102,11 +102,11 @@ def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep:
         by_fp = opened.filter("fp is not null").groupBy("fp").agg(F.min("pos").alias("same"))
         state = opened.join(by_rep, "rep").join(by_fp, "fp", "left")
         wins = state.filter("pos = first and (near is null or pos < near) and (same is null or pos = same)")
-        wins = materialize(wins.select("fp", "ck", "rep", "pos"), "wins")
+        wins = materialize(wins.select("fp", "ck", "rep", "pos"), "wins", dictionary=False)
         taken.append(wins)
         gone = wins.select("rep").union(links.join(wins.select(F.col("rep").alias("a")), "a").select("b")).distinct()
         left = opened.join(gone, "rep", "left_anti").join(wins.filter("fp is not null").select("fp").distinct(), "fp", "left_anti")
-        opened = materialize(left, "open")
+        opened = materialize(left, "open", dictionary=False)
 
     if not taken:
         return rows.select("id")
@@ -131,7 +131,7 @@ def covered(
     cuts, low_b, high_b, low, high = records.agg(F.percentile_approx("_b", at, 10000), F.min("_b"), F.max("_b"), F.min("id"), F.max("id")).first()
     edges = [None, *(sorted(set(cuts)) if batches > 1 and cuts else []), None]
     pos = _position(low_b or 0, high_b or 0, low or 0, high or 0)
-    arrivals = materialize(wordsets.keyed(records, texts, "id", F.col("_b").alias("batch"), pos.alias("pos"), "fp"), "arrivals")
+    arrivals = materialize(wordsets.keyed(records, texts, "id", F.col("_b").alias("batch"), pos.alias("pos"), "fp"), "arrivals", dictionary=False)
     out, history = [], History(None, tenths, miss, bands, rows)
     for after, upto in zip(edges, edges[1:]):
         part = arrivals

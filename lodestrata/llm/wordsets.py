@@ -52,7 +52,7 @@ def keyed(records: DataFrame, texts: list[str], *others: Column | str) -> DataFr
 def classes(keys: DataFrame) -> DataFrame:
     """(ck, rep, words) of keyed records (id, ck, words), written to the shared folder."""
     # The key decides the words; grouping by both keeps strings out of the aggregates, so that Spark hashes and does not sort.
-    return materialize(keys.groupBy("ck", "words").agg(F.min("id").alias("rep")), "classes")
+    return materialize(keys.groupBy("ck", "words").agg(F.min("id").alias("rep")), "classes", dictionary=False)
 
 
 def word_weights(words: DataFrame) -> tuple[dict[str, float], float]:
