@@ -32,10 +32,13 @@ def new_path(spark: SparkSession, name: str = "t") -> str:
 def materialize(df: DataFrame, name: str = "t", dictionary: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder once and return a DataFrame that reads it, so that no lineage is left.
 
-    Without ``dictionary`` values are not looked up for repetition: cheaper where nearly all are different.
+    The table goes when the application ends. Without ``dictionary`` values are not looked up for repetition: cheaper where nearly all are different.
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
+    context = df.sparkSession.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
