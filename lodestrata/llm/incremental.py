@@ -50,7 +50,7 @@ def _sorted_run(rows: DataFrame) -> DataFrame:
 
     A key is a band number above 48 evenly spread bits, so its upper bits make ranges of about equal size.
     """
-    return materialize(rows.repartition(F.shiftright("key", 44)).sortWithinPartitions("key", "rep"), "run", dictionary=False)
+    return materialize(rows.repartition(F.shiftright("key", 44)).sortWithinPartitions("key"), "run", dictionary=False)
 
 
 def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +124,9 @@ def covered(
 
     Arrivals are ranges of ``batch_col`` with about as many records each; the result does not depend on their number.
     Null texts count as empty; records without words are only similar to records of the same text; a null batch comes
-    first; a null id is left out; ids must be unique. Word weights come from the first arrival's classes.
+    first; a null id is left out; ids must be unique. A record of weighted similarity s to another shares a sort value with it
+    with probability 1 - (1 - s ** rows) ** bands: more ``rows`` mean smaller windows, as tables of many millions of like
+    records need, and then more ``bands``. Word weights come from the first arrival's classes.
     """
     records = records.filter("id is not null").withColumn("_b", F.coalesce(F.col(batch_col).cast("long"), F.lit(-1 << 62)))
     at = [(i + 1) / batches for i in range(batches - 1)] or [1.0]
