@@ -74,7 +74,7 @@ def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep: bool = True) -> DataFrame:
     """(id,) of a batch's ``rows`` that are covered, in order of ``pos``; the others are added to the ``history``.
 
-    ``rows`` has id, pos (a number; unique, later than all of the history), fp (null where unknown), and ck and words of
+    ``rows`` has id, pos (of any ordered type; unique, later than all of the history), fp (null where unknown), and ck and words of
     ``wordsets.keyed``; as it is read several times it should be a written table. ``suppressed`` has fp. A record is covered if its fp is suppressed or accepted, or if its word set is that of
     an accepted record or similar to it. Acceptance within the batch is decided in rounds: of the open records, those
     that come first in their fingerprint, in their class and among the linked classes are accepted and cover the rest of
@@ -144,9 +144,9 @@ def covered(
 
 
 def _position(low_b: int, high_b: int, low: int, high: int) -> Column:
-    """A number that orders by batch (column _b), then id: a long where both spans fit into one, else a decimal."""
+    """A value that orders by batch (column _b), then id: a long where both spans fit into one, else padded digits."""
     width = (high - low).bit_length()
     if width + (high_b - low_b).bit_length() <= 62:
         return F.shiftleft(F.col("_b") - low_b, width) + (F.col("id") - low)
-    wide = "decimal(38,0)"
-    return ((F.col("_b").cast(wide) - F.lit(low_b).cast(wide)) * F.lit(str(1 << width)).cast("decimal(19,0)") + (F.col("id").cast(wide) - F.lit(low).cast(wide))).cast(wide)
+    part = lambda c, least: F.lpad((F.col(c).cast("decimal(38,0)") - F.lit(str(least)).cast("decimal(38,0)")).cast("string"), 20, "0")
+    return F.concat(part("_b", low_b), part("id", low))
