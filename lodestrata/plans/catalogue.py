@@ -455,8 +455,8 @@ def detect_dead_exports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT repo_path, file_path, m.module AS module, count(*) AS names FROM (SELECT repo_path, file_path, unnest(regexp_extract_all(content, 'import\s+(?:\{[^}]*\}|[\w$]+)\s+from\s+[''\"]([^''\"]+)[''\"]', 1)) AS module FROM source_files"
-    " WHERE regexp_matches(file_path, '\.(js|ts)$')) m GROUP BY ALL"
+    "SELECT repo_path, file_path, m.module AS module, count(*) AS names FROM (SELECT repo_path, file_path, unnest(regexp_extract_all(content, 'import\\s+(?:\\{[^}]*\\}|[\\w$]+)\\s+from\\s+[''\"]([^''\"]+)[''\"]', 1)) AS module FROM source_files"
+    " WHERE regexp_matches(file_path, '\\.(js|ts)$')) m GROUP BY ALL"
 )
 def script_imports(spark: SparkSession, sf: str) -> DataFrame:
     """Modules that scripts import, with the number of names."""
