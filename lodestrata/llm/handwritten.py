@@ -1,10 +1,10 @@
 """Files that nobody wrote by hand: generated, minified or bundled, vendored, or data stored as code.
 
 A random forest is trained on compression ratio, token entropy, identifier lengths, comment density and the like. Its
-labels come from what a file says of itself: header notices and banners (cut out of the text before features are taken,
-so that they stay hidden from them), tool suffixes and places of third-party code, and whether the whole file is one
-literal. A file is a case if its header or place says so, which holds even where the code looks hand-written, or if the
-forest finds it so by its looks alone.
+labels come from what a file says of itself and features do not see: notices of tools in the header and banners (cut out
+of the text before features are taken) and the name endings of packed scripts. A file is a case if its header or place
+says so, which holds even where the code looks hand-written, if the whole file is one literal, or if the forest finds it
+so by its looks alone.
 """
 
 from __future__ import annotations
@@ -48,6 +48,7 @@ _COPIED = re.compile(
 )
 _TAKEN_BACK = re.compile(r"\bused to be\b|\bno longer\b|\bby hand\b|\bhand[- ](?:written|maintained|edited|rolled)\b|\bnot (?:auto[- ]?)?generated\b|\bonce (?:was )?generated\b|\bformerly\b", re.I)
 _BANNER = re.compile(r"^/\*!.*\bv?\d+(?:\.\d+)+")
+_CONSTANTS = {"true", "false", "null", "none", "undefined", "nil"}
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[-+]?\b\d[\w.]*")
 
 FEATURES = ["ratio", "entropy", "ident", "ident_short", "comment", "line_mean", "line_max", "digits", "blank", "literal", "word_share", "size"]
@@ -117,6 +118,13 @@ def features(body: str) -> list[float]:
     ]
 
 
+def unquoted(body: str) -> float:
+    """Share of word characters outside of literals among all that is no blank; 1 for an empty text."""
+    dense = sum(map(len, body.split()))
+    words = re.findall(r"\w+", _LITERAL.sub("", body))
+    return sum(len(w) for w in words if w.lower() not in _CONSTANTS) / dense if dense else 1.0
+
+
 def placed(path: Column) -> Column:
     """Whether a path is a place of third-party or tool-written files."""
     parts = F.split(F.lower(F.coalesce(path, F.lit(""))), "[/\\\\]")
@@ -125,7 +133,7 @@ def placed(path: Column) -> Column:
 
 
 def described(files: DataFrame) -> DataFrame:
-    """(repo_path, file_path, content_key, said, banner, mapped, FEATURES...) of every file."""
+    """(repo_path, file_path, content_key, said, banner, prose, unquoted, FEATURES...) of every file."""
 
     def measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -139,45 +147,51 @@ def described(files: DataFrame) -> DataFrame:
                 said = notice(head)
                 banner = bool(_BANNER.match(head.lstrip()))
                 body = body.rstrip()[: -len(tail)] if mapped else body
-                out.append((repo, path, said, banner or mapped, prose, *features(body)))
-            types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), *[pa.float64()] * len(FEATURES)]
-            names = ["repo_path", "file_path", "said", "banner", "prose", *FEATURES]
+                out.append((repo, path, said, banner or mapped, prose, unquoted(body), *features(body)))
+            types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.float64(), *[pa.float64()] * len(FEATURES)]
+            names = ["repo_path", "file_path", "said", "banner", "prose", "unquoted", *FEATURES]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), types)], names)
 
-    schema = "repo_path string, file_path string, said string, banner boolean, prose boolean, " + ", ".join(f"{f} double" for f in FEATURES)
+    schema = "repo_path string, file_path string, said string, banner boolean, prose boolean, unquoted double, " + ", ".join(f"{f} double" for f in FEATURES)
     return files.select("repo_path", "file_path", "content").mapInArrow(measured, schema)
 
 
+def _both_sizes(cases: DataFrame) -> dict[float, int] | None:
+    """Rows of each label, if both occur."""
+    sizes = {r["label"]: r["count"] for r in cases.groupBy("label").count().collect()}
+    return sizes if len(sizes) == 2 else None
+
+
 def not_handwritten(files: DataFrame, sample: int = 20000, trees: int = 30, least: float = 0.5) -> DataFrame:
     """(repo_path, file_path, reason): files nobody here wrote by hand; reason is place, written, copied or looks.
 
     ``files`` has repo_path, file_path and content. The forest is fitted on at most about ``sample`` files, taken by a
-    hash of their place, and applied to all. As some unlabelled files are not hand-written either, those that a first forest
-    finds doubtful are left out of a second one's training. Null contents count as empty; null paths have no place; files whose key is
-    null stay in. Prose (Markdown) is judged by its place only. If no or all sampled files are labelled, looks decide
-    nothing.
+    hash of their place, and applied to all. As some unlabelled files are not hand-written either, and some labelled ones
+    look as if they were, a second forest is fitted without the files whose label a first one contradicts. Null contents count as empty; null paths have no place; files whose key is
+    null stay in. Prose (Markdown) is judged by its place only. If no or all sampled files are labelled, or labelled files
+    look like the others, looks decide nothing.
     """
     rows = materialize(described(files).withColumn("place", placed(F.col("file_path"))), "features")
-    whole = (F.col("literal") >= 0.9) | (F.col("digits") >= 0.3)  # one literal makes up the file
+    whole = F.col("unquoted") <= 0.05  # one literal makes up the file
     packed = F.coalesce(F.col("file_path"), F.lit("")).rlike(PACKED)
-    dense = ~F.col("prose") & (F.col("line_mean") >= 300)  # no lines to speak of
-    label = F.coalesce(F.col("banner") | whole | packed | dense, F.lit(False)).cast("double")
+    label = F.coalesce((F.col("said") == "written") | F.col("banner") | packed, F.lit(False)).cast("double")
     n = rows.count()
     share = min(1.0, sample / n) if n else 1.0
-    code = rows.filter(~F.col("prose") & F.col("said").isNull() & ~F.col("place") | (label > 0))
+    code = rows.filter(~F.col("prose") & (F.col("said").isNull() & ~F.col("place") & ~whole | (label > 0)))
     train = code.withColumn("label", label).filter((F.pmod(F.xxhash64("repo_path", "file_path"), F.lit(1_000_000)) / 1e6) < share)
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
     looks = F.lit(False)
     scored = rows
-    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    if len(sizes) == 2:
+    if _both_sizes(train):
         forest = RandomForestClassifier(numTrees=trees, maxDepth=6, seed=11, weightCol="weight", featureSubsetStrategy="onethird")
-        weight = F.when(F.col("label") > 0, F.lit(sizes[0.0] / sizes[1.0])).otherwise(1.0)  # both classes weigh the same
-        cases = materialize(vector.transform(train).select("label", "features", weight.alias("weight")), "cases")
-        first = forest.fit(cases)
-        doubtful = (F.col("label") == 0) & (vector_to_array("probability")[1] >= 0.25)  # unlabelled, but much like the labelled
-        model = forest.fit(first.transform(cases).filter(~doubtful).select("label", "features", "weight"))
-        scored = model.transform(vector.transform(rows)).withColumn("p", vector_to_array("probability")[1])
-        looks = ~F.col("prose") & (F.col("p") >= least)
+        cases = materialize(vector.transform(train).select("label", "features", F.lit(1.0).alias("weight")), "cases")
+        first = forest.copy({forest.minInstancesPerNode: 5}).fit(cases)  # no file decides its own look
+        like = vector_to_array("probability")[1] >= 0.25  # looks of which a good part is labelled
+        kept = materialize(first.transform(cases).filter(like == (F.col("label") > 0)).select("label", "features"), "kept")
+        if sizes := _both_sizes(kept):
+            weight = F.when(F.col("label") > 0, F.lit(sizes[0.0] / sizes[1.0])).otherwise(1.0)  # both classes weigh the same
+            model = forest.fit(kept.withColumn("weight", weight))
+            scored = model.transform(vector.transform(rows)).withColumn("p", vector_to_array("probability")[1])
+            looks = ~F.col("prose") & (F.col("p") >= least)
     reason = F.when(F.col("place"), "place").when(F.col("said").isNotNull(), F.col("said")).when(looks | (whole & ~F.col("prose")), "looks")
     return scored.select("repo_path", "file_path", reason.alias("reason")).filter("reason is not null")

@@ -182,3 +182,26 @@ def test_not_handwritten(spark):
     got = {(r["repo_path"], r["file_path"]) for r in handwritten.not_handwritten(table).collect()}
     assert got == {r[:2] for r in cases}
     assert handwritten.not_handwritten(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_looks_are_learnt_from_notices(spark):
+    rng = np.random.default_rng(5)
+    body = lambda: "".join(f"def f{int(i)}(path, key):\n    # reads {int(i)} again\n    return path.open(key) if key else None\n\n\n" for i in rng.integers(0, 99, 4 + int(rng.integers(0, 9))))
+    flat = lambda: "".join(f"reg({chr(97 + int(i))}, {chr(97 + int(j))})\n" for i, j in rng.integers(0, 26, (90 + int(rng.integers(0, 99)), 2)))
+    hand = [("r", f"src/h{i}.py", body()) for i in range(60)]
+    told = [("r", f"src/t{i}.py", "# Code generated by x-gen. DO NOT EDIT.\n" + flat()) for i in range(12)]
+    told += [("r", f"src/u{i}.py", "# Code generated by x-gen. DO NOT EDIT.\n" + body()) for i in range(3)]  # look like the others
+    untold = [("r", f"src/w{i}.py", flat()) for i in range(4)]
+    files = spark.createDataFrame([(*r, "x", "y", "z") for r in hand + told + untold], FILES)
+    got = {r["file_path"]: r["reason"] for r in handwritten.not_handwritten(files).collect()}
+    assert got == {r[1]: "written" for r in told} | {r[1]: "looks" for r in untold}
+
+
+def test_files_of_one_literal():
+    words = ["heap", "inbox", "fragment", "frame", "compiler", "pointer"]
+    table = "WEIGHTS = {\n" + "".join(f'    "{words[i % 6]}_{i}": {7919 * (i + 60)},\n' for i in range(60)) + "}\n"
+    measured = dict(zip(handwritten.FEATURES, handwritten.features(table)))
+    assert measured["literal"] < 0.9 and handwritten.unquoted(table) < 0.05
+    held = "import os\n\n\ndef load(path):\n    return os.path.join(path, TEXT)\n\n\nTEXT = '" + "fragment, driver, concern, port, " * 14 + "'\n"  # code around a long text
+    assert handwritten.features(held)[handwritten.FEATURES.index("literal")] >= 0.9 and handwritten.unquoted(held) > 0.05
+    assert handwritten.unquoted("def load(path):\n    return 'a long text ' + path\n") > 0.3 and handwritten.unquoted(" ") == 1
