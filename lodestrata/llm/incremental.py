@@ -25,9 +25,9 @@ class History:
 
     signer: wordsets.Signer | None = None  # made from the first batch's words
     tenths: int = 7
-    miss: float = 0.01
-    bands: int = 16
-    rows: int = 4
+    miss: float = 0.001
+    bands: int = 32
+    rows: int = 3
     max_runs: int = 4
     runs: list[DataFrame] = field(default_factory=list)
     accepted: list[DataFrame] = field(default_factory=list)
@@ -118,7 +118,7 @@ def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep:
 
 def covered(
     records: DataFrame, suppressed: DataFrame, texts: list[str], batch_col: str, batches: int = 2,
-    tenths: int = 7, bands: int = 16, rows: int = 4, miss: float = 0.01,
+    tenths: int = 7, bands: int = 32, rows: int = 3, miss: float = 0.001,
 ) -> DataFrame:
     """Replay ``records`` (id, ``batch_col``, fp, texts) in order of batch and id as ``batches`` arrivals; covered ids.
 
@@ -126,7 +126,8 @@ def covered(
     Null texts count as empty; records without words are only similar to records of the same text; a null batch comes
     first; a null id is left out; ids must be unique. A record of weighted similarity s to another shares a sort value with it
     with probability 1 - (1 - s ** rows) ** bands: more ``rows`` mean smaller windows, as tables of many millions of like
-    records need, and then more ``bands``. Word weights come from the first arrival's classes.
+    records need, and then more ``bands``. The weighted similarity of records that differ in rare words is well below their
+    Jaccard similarity. Word weights come from the first arrival's classes.
     """
     records = records.filter("id is not null").withColumn("_b", F.coalesce(F.col(batch_col).cast("long"), F.lit(-1 << 62)))
     at = [(i + 1) / batches for i in range(batches - 1)] or [1.0]

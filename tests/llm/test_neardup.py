@@ -109,3 +109,19 @@ def test_huge_ids_keep_their_order(spark):
 def test_thresholds_rise_with_similarity():
     low, high = wordsets.bit_thresholds(0.5, 0.01, [64, 64]), wordsets.bit_thresholds(0.9, 0.01, [64, 64])
     assert all(a < b for a, b in zip(low, high)) and low[1] > low[0]
+
+
+def rare_edits(n=60, seed=4):
+    """Pairs of Jaccard similarity 0.75 that differ in rare words only, so that their weighted similarity is about 0.55."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        shared = rng.sample([f"w{k}" for k in range(200)], 12)
+        rows += [(2 * i + k, k, None, " ".join(shared), f"only{i}x{k} just{i}y{k}", *"xyz") for k in (0, 1)]
+    return rows
+
+
+def test_rare_edits_are_covered(spark):
+    rows = rare_edits()
+    got = incremental.covered(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "fp string"), ["title", "description"], "run_id")
+    assert {r[0] for r in got.collect()} == sequential(rows, set()) == {r[0] for r in rows if r[1] == 1}
