@@ -125,3 +125,8 @@ def test_rare_edits_are_covered(spark):
     rows = rare_edits()
     got = incremental.covered(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "fp string"), ["title", "description"], "run_id")
     assert {r[0] for r in got.collect()} == sequential(rows, set()) == {r[0] for r in rows if r[1] == 1}
+
+
+def test_rare_edits_are_linked(spark):
+    near = neardup.near_duplicates(spark.createDataFrame(rare_edits(), SCHEMA), "id", ["title", "description"], tenths=7)
+    assert {tuple(r) for r in near.pairs().collect()} == {(2 * i, 2 * i + 1) for i in range(60)}
