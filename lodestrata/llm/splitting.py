@@ -154,25 +154,35 @@ def _scan_code(text: str, begin: int, end: int, lang: str, state: str) -> tuple[
         return n in decorators
 
     pattern = {"python": _PY_UNIT, "go": _GO_UNIT}.get(lang, _JS_UNIT)
+    rest = text[begin:]  # a parameter list may go beyond the range
+    whole = code if len(rest) == len(body) or pattern is not _JS_UNIT else _masked(rest, lang, state)[0]
     units = []
     for n, s in enumerate(starts):
         if n == 0 and body.startswith("﻿"):
             s += 1
         m = pattern.match(body, s)
         if m and s < len(body) and code[s]:
-            if m.groupdict().get("args") is not None and not _is_arrow(body, m.end()):
+            if m.groupdict().get("args") is not None and not _is_arrow(rest, whole, m.end()):
                 continue
             units.append((above(n), 0 if lang == "python" else depth_at(s)))  # in Python the column alone tells
     return last, after[-1] if after and lang != "python" else 0, units
 
 
-def _is_arrow(body: str, at: int) -> bool:
-    """Whether the bracket that opens just before ``at`` is an arrow function's parameter list."""
-    depth, n = 1, min(len(body), at + HALO)
-    while at < n and depth:
-        depth += (body[at] in "([{") - (body[at] in ")]}")
-        at += 1
-    return re.match(r"\s*(?::[^;={}]*)?=>", body[at : at + 200]) is not None
+def _is_arrow(text: str, code: np.ndarray, at: int) -> bool:
+    """Whether the bracket that opens just before ``at`` is an arrow function's parameter list. ``code`` masks strings and comments."""
+    depth, typed = 1, False
+    for i in range(at, len(text)):
+        c = text[i]
+        if c.isspace() or not code[i]:
+            continue
+        if not depth:
+            if text.startswith("=>", i):
+                return True
+            if not typed and c != ":" or c in ";=)]}":
+                return False
+            typed = True
+        depth += (c in "([{") - (c in ")]}")
+    return False
 
 
 def _line_start(text: str, at: int) -> int:

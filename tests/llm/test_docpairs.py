@@ -193,3 +193,13 @@ def test_pieces_round_trip(spark):
 def test_split_empty(spark):
     assert splitting.split(spark.createDataFrame([], ITEMS)).count() == 0
     assert splitting.cut_lines(spark.createDataFrame([], ITEMS)).count() == 0
+
+
+def test_arrow_functions_of_any_signature(spark):
+    long = "export const f = (\n" + "".join(f"  parameter{i}: string, // of (many\n" for i in range(300)) + ") => {\n}\n"
+    ts = "x();\n" + long + "const g = (a: string): { a: string } => {\n}\nconst h = async (a: A): Promise<{ b: B; c: C }> => {\n}\nconst no = (a + b) * 2;\nconst nor = (a)(b => c);\n"
+    rows = [(1, "a.ts", None, ts, 0, 0), (2, "b.ts", None, ts, 0, 0)]
+    assert len(long) > 8000
+    at = [n for n, line in enumerate(ts.split("\n")) if line.startswith(("export const f", "const g", "const h"))]
+    got = sorted(tuple(r) for r in splitting.cut_lines(spark.createDataFrame(rows, ITEMS)).collect())
+    assert got == [(i, n) for i in (1, 2) for n in at]
