@@ -6,7 +6,6 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where the setting is absent (as in local tests)."""
     path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lodestrata-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set(CHECKPOINT_CONF, path)
@@ -36,24 +37,41 @@ def materialize(df: DataFrame, name: str = "t", dictionary: bool = True) -> Data
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
-    context = df.sparkSession.sparkContext
-    folder = context._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _on_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``materialize`` wrote and that nothing lazy needs any more."""
-    for df in tables:
-        spark = df.sparkSession
-        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-        for folder in folders:
-            if "/lodestrata/" in folder and "file" == (urlparse(folder).scheme or "file"):
-                shutil.rmtree(urlparse(folder).path, ignore_errors=True)
-            elif "/lodestrata/" in folder:
-                jvm = spark.sparkContext._jvm
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """A folder and its file system, as Hadoop objects."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def _on_exit(spark: SparkSession, path: str) -> None:
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+
+
+def temporary_path(spark: SparkSession, name: str = "t") -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = new_path(spark, name)
+    _on_exit(spark, path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Hadoop knows."""
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file to any file system that Hadoop knows."""
+    file, files = _folder(spark, path)
+    out = files.create(file, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 class Shared:
