@@ -1,101 +1,245 @@
 """Deduplicating new batches against everything accepted before, by multi-key sorted-neighbourhood runs.
 
-The history of accepted records is kept as sorted runs: parquet tables of (key, rep, signature) rows clustered and sorted
-by key, each key being the number of a sort order (its band) and a sort value of weighted minhashes, so that similar
-records are neighbours under some key. A batch is sorted in the same way and merged against the runs: only the windows
-around the new records, the rows of equal sort value, are compared. Accepted records form a new run; when there are too
-many runs they are compacted into one. Beside the runs the history has the accepted fingerprints and word sets.
+The history of accepted records is kept in a folder as sorted runs: parquet tables of (key, rep, signature) rows, one
+subfolder per key range, sorted by key. A key is a sort value of weighted minhashes under one of several sort orders, so
+that similar records are neighbours under some of them. The rows of a batch are merged with the runs: only the key ranges
+that the batch falls into are read, rows outside of the batch's windows (the runs of equal sort value) are passed over while
+they are read, and what is left is compared with the batch alone. Records of the history are never compared with each other
+again, nor shuffled. Accepted records form a new run; as soon as ``fan`` runs of a level exist, they are merged into one of
+the next, so a record is rewritten once a level. Beside the runs the history has the accepted fingerprints and word sets.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import wordsets
-from lodestrata.storage import discard, materialize
+from lodestrata.storage import Shared, delete_path, materialize, temporary_path, write_text
+
+#: Open records and links up to which the rest of a batch is decided one by one in a single task.
+FEW = 200_000
+#: Most bits of the filter of a batch's keys (a broadcast of 32 MB).
+FILTER_BITS = 1 << 28
 
 
 @dataclass
 class History:
-    """``runs`` (key, rep, signature) and ``accepted`` (fp, ck, rep, words; one row a class): lists of tables in the shared folder."""
+    """Accepted records in the folder ``home``; a temporary one in the shared folder if none is given.
+
+    ``runs``: (name, level) of the tables under home/runs. ``accepted``: names of tables (fp, ck, rep, words), one row a
+    record, under home/accepted; they are written once and only read by narrow columns, except for verifications.
+    """
 
+    spark: SparkSession
+    home: str | None = None
     signer: wordsets.Signer | None = None  # made from the first batch's words
     tenths: int = 7
-    miss: float = 0.001
+    miss: float = 0.0001
     bands: int = 32
-    rows: int = 3
-    max_runs: int = 4
-    runs: list[DataFrame] = field(default_factory=list)
-    accepted: list[DataFrame] = field(default_factory=list)
+    rows: int = 4
+    ranges: int = 16  # a power of two; more of them let small batches read less
+    fan: int = 3
+    runs: list[tuple[str, int]] = field(default_factory=list)
+    accepted: list[str] = field(default_factory=list)
+    written: int = 0
+
+    def __post_init__(self) -> None:
+        self.home = self.home or temporary_path(self.spark, "history")
+
+    # The history must survive the application, so its tables are plain folders and its state is a small JSON text.
+
+    def save(self) -> None:
+        """Write what a later application needs to go on with ``load``; the newest state counts."""
+        state = {k: getattr(self, k) for k in ("tenths", "miss", "bands", "rows", "ranges", "fan", "runs", "accepted", "written")}
+        state["weights"], state["seed"] = (self.signer.weights, self.signer.seed) if self.signer else (None, None)
+        write_text(self.spark, f"{self.home}/state/{self.written:09d}.json", json.dumps(state))
+
+    @classmethod
+    def load(cls, spark: SparkSession, home: str) -> History:
+        states = spark.read.text(f"{home}/state", wholetext=True).select("value", F.input_file_name().alias("file"))
+        state = json.loads(states.orderBy(F.desc("file")).first()["value"])
+        weights, seed = state.pop("weights"), state.pop("seed")
+        state["runs"] = [tuple(r) for r in state["runs"]]
+        own = cls(spark, home, **state)
+        own.signer = None if weights is None else wordsets.Signer(weights, own.bands, own.rows, seed)
+        return own
 
     def known(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, self.accepted)
+        """(fp, ck, rep, words) of all accepted records."""
+        paths = [f"{self.home}/accepted/{n}" for n in self.accepted]
+        return self.spark.read.schema("fp string, ck binary, rep long, words string").parquet(*paths)
+
+    def neighbours(self, ranges: list[int]) -> DataFrame:
+        """The rows of all runs in these key ranges; the filter is one of partitions, so other ranges are not read."""
+        paths = [f"{self.home}/runs/{name}" for name, _ in self.runs]
+        schema = f"key long, rep long, {', '.join(f'{s} long' for s in wordsets.SIGNATURE)}, range int"
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(p) for p in paths])
+        return rows.filter(F.col("range").isin(ranges))
 
     def add(self, accepted: DataFrame) -> None:
-        """Keep accepted records, with a sorted run of them; more than ``max_runs`` runs are merged into one."""
-        self.accepted.append(materialize(accepted, "accepted", dictionary=False))
-        self.runs.append(_sorted_run(wordsets.signed(self.accepted[-1], self.signer)))
-        if len(self.runs) > self.max_runs:
-            merged = _sorted_run(reduce(DataFrame.unionByName, self.runs))
-            discard(*self.runs)
-            self.runs = [merged]
+        """Keep accepted records (fp, ck, rep, words), with a sorted run of their classes."""
+        name = self._name()
+        path = f"{self.home}/accepted/{name}"
+        accepted.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+        self.accepted.append(name)
+        words = self.spark.read.schema(accepted.schema).parquet(path)
+        self._write(wordsets.signed(words, self.signer), 0)
+        level = 0
+        while len(same := [r for r in self.runs if r[1] == level]) >= self.fan:
+            paths = [f"{self.home}/runs/{r[0]}" for r in same]
+            merged = reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in paths]).drop("range")
+            self.runs = [r for r in self.runs if r[1] != level]
+            level += 1
+            self._write(merged, level)
+            self.save()  # before what the old state names goes
+            for p in paths:
+                delete_path(self.spark, p)
 
+    def _name(self) -> str:
+        self.written += 1
+        return f"{self.written:09d}"
 
-def _sorted_run(rows: DataFrame) -> DataFrame:
-    """Written in key ranges, each sorted, so that row-group statistics let a reader skip to a range.
+    def _write(self, rows: DataFrame, level: int) -> None:
+        name = self._name()
+        ranged = rows.withColumn("range", _range(F.col("key"), self.ranges))
+        ranged = ranged.repartition("range").sortWithinPartitions("range", "key")
+        ranged.write.partitionBy("range").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{self.home}/runs/{name}")
+        self.runs.append((name, level))
 
-    A key is a band number above 48 evenly spread bits, so its upper bits make ranges of about equal size.
-    """
-    return materialize(rows.repartition(F.shiftright("key", 44)).sortWithinPartitions("key"), "run", dictionary=False)
+
+def _range(key: Column, ranges: int) -> Column:
+    """Ranges of equal width of a key, which is spread evenly over 63 bits."""
+    return F.shiftright(key, 63 - (ranges.bit_length() - 1)).cast("int")
+
+
+class _Filter:
+    """Bits at two places for every key of a set; a key without both is not in it."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        own = keys.astype(np.uint64)
+        return (own % np.uint64(size)).astype(np.int64), (own // np.uint64(size) % np.uint64(size - 1)).astype(np.int64)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        a, b = self.places(keys, len(self.bits) * 64)
+        bit = lambda p: self.bits[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)
+        return (bit(a) & bit(b)).astype(bool)
+
+
+def _key_filter(own: DataFrame, keys: int) -> _Filter:
+    """The filter of the batch's keys: 16 bits a key, FILTER_BITS at most; only words of it come to the driver."""
+    size = min(FILTER_BITS, max(1 << 12, 1 << (16 * max(1, keys) - 1).bit_length()))
+
+    def marked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            places = np.concatenate(_Filter.places(np.asarray(batch["key"]), size))
+            word, at = np.unique(places >> 6, return_inverse=True)
+            mask = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(mask, at, np.uint64(1) << (places & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
+
+    table = own.select("key").mapInArrow(marked, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)
+    bits[np.asarray(table["word"])] = np.asarray(table["mask"]).view(np.uint64)
+    return _Filter(bits)
+
+
+def _windows(history: History, own: DataFrame) -> DataFrame:
+    """The rows of the runs whose sort value the batch's signed rows ``own`` have, too (and a few others)."""
+    touched = own.groupBy(_range(F.col("key"), history.ranges).alias("range")).count().collect()  # at most ``ranges`` rows
+    shared = Shared(history.spark, _key_filter(own, sum(r["count"] for r in touched)))
+
+    def passing(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield batch.filter(pa.array(shared.value.holds(np.asarray(batch["key"]))))
+
+    rows = history.neighbours([r["range"] for r in touched]).drop("range")
+    return rows.mapInArrow(passing, rows.schema)
 
 
 def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((a, b) of similar classes of the batch, in both directions; (rep,) classes similar to an accepted one)."""
-    own = wordsets.signed(classes, history.signer).withColumn("old", F.lit(False))
-    rows = reduce(DataFrame.unionByName, [r.withColumn("old", F.lit(True)) for r in history.runs], own)
-    window = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & ~(F.col("x.old") & F.col("y.old"))
-    near = rows.alias("x").join(rows.alias("y"), window & wordsets.agreeing("x", "y", history.tenths, history.miss))
-    swap = F.col("x.old")
-    ends = F.when(swap, F.col("y.rep")).otherwise(F.col("x.rep")), F.when(swap, F.col("x.rep")).otherwise(F.col("y.rep"))
-    met = near.select(ends[0].alias("a"), ends[1].alias("b"), (F.col("x.old") | F.col("y.old")).alias("old")).distinct()
-    met = materialize(met, "met", dictionary=False) if history.runs else met
-    inner = wordsets.verified(met.filter("not old").select("a", "b"), classes, classes, history.tenths)
-    inner = materialize(inner.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")).select("l.a", "l.b"), "links", dictionary=False)
+    own = wordsets.signed(classes, history.signer)
+    if history.runs:
+        own = materialize(own, "own", dictionary=False)
+    like = wordsets.agreeing("x", "y", history.tenths, history.miss)
+    pair = [F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
+    same = (F.col("x.key") == F.col("y.key")) & like
+    met = own.alias("x").join(own.alias("y"), same & (F.col("x.rep") < F.col("y.rep"))).select(*pair).distinct()
+    inner = wordsets.verified(met, classes, classes, history.tenths).select("a", "b")
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")
+    inner = materialize(inner.select(both).select("l.a", "l.b"), "links", dictionary=False)
     if not history.runs:
         return inner, inner.select(F.col("a").alias("rep")).limit(0)
-    outer = wordsets.verified(met.filter("old").select("a", "b"), classes, history.known().select("rep", "words"), history.tenths)
+    met = own.alias("x").join(_windows(history, own).alias("y"), same).select(*pair).distinct()
+    outer = wordsets.verified(met, classes, history.known().select("rep", "words"), history.tenths)
     return inner, outer.select(F.col("a").alias("rep")).distinct()
 
 
-def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep: bool = True) -> DataFrame:
+def _one_by_one(units: DataFrame, links: DataFrame) -> DataFrame:
+    """The accepted ones of a few ``units`` (fp, ck, rep, pos), decided in order in one task."""
+
+    def decide(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        near: dict[int, list[int]] = {}
+        for a, b in zip(pairs["a"], pairs["b"]):
+            near.setdefault(a, []).append(b)
+        covered: set[int] = set()  # classes
+        seen: set[str] = set()
+        rows, keep = rows.sort_values("pos", ignore_index=True), []
+        for fp, rep in zip(rows["fp"], rows["rep"]):
+            keep.append(rep not in covered and (fp is None or fp not in seen))
+            if keep[-1]:
+                covered.add(rep)
+                covered.update(near.get(rep, ()))
+                if fp is not None:
+                    seen.add(fp)
+        return rows[keep]
+
+    alone = F.lit(0).alias("g")
+    return units.groupBy(alone).cogroup(links.groupBy(alone)).applyInPandas(lambda u, p: decide(u.astype({"fp": object}).where(u.notna(), None), p), units.schema)
+
+
+def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep: bool = True, few: int = FEW) -> DataFrame:
     """(id,) of a batch's ``rows`` that are covered, in order of ``pos``; the others are added to the ``history``.
 
-    ``rows`` has id, pos (of any ordered type; unique, later than all of the history), fp (null where unknown), and ck and words of
-    ``wordsets.keyed``; as it is read several times it should be a written table. ``suppressed`` has fp. A record is covered if its fp is suppressed or accepted, or if its word set is that of
-    an accepted record or similar to it. Acceptance within the batch is decided in rounds: of the open records, those
-    that come first in their fingerprint, in their class and among the linked classes are accepted and cover the rest of
-    those groups. Every round handles all groups at once and decides at least the first open record. Without ``keep`` the
-    history is not extended, for a last batch.
+    ``rows`` has id, pos (of any ordered type; unique, later than all of the history), fp (null where unknown), and ck and
+    words of ``wordsets.keyed``; as it is read several times it should be a written table. ``suppressed`` has fp. A record is
+    covered if its fp is suppressed or accepted, or if its word set is that of an accepted record or similar to it. Only
+    records that neither decides by equality are signed and merged. Acceptance within the batch is decided in rounds: of the
+    open records, those that come first in their fingerprint, in their class and among the linked classes are accepted
+    and cover the rest of those groups; once at most ``few`` open records and links are left, they are decided one by one in
+    a single task, with the same result. Without ``keep`` the history is not extended, for a last batch.
     """
-    classes = wordsets.classes(rows)
-    if history.signer is None:
-        history.signer = wordsets.Signer(*wordsets.word_weights(classes), bands=history.bands, rows=history.rows)
     units = rows.groupBy("fp", "ck").agg(F.min("pos").alias("pos"))
     blocked = suppressed.select("fp")
     if history.accepted:
         blocked = blocked.unionByName(history.known().select("fp"))
-    units = units.join(blocked, "fp", "left_anti").join(classes.select("ck", "rep"), "ck")
+    units = units.join(blocked, "fp", "left_anti")
     if history.accepted:
         units = units.join(history.known().select("ck"), "ck", "left_anti")
+    units = materialize(units, "units", dictionary=False)
+    fresh = rows.join(units.select("ck"), "ck", "left_semi") if history.accepted else rows
+    classes = wordsets.classes(fresh)
+    if history.signer is None:
+        history.signer = wordsets.Signer(wordsets.word_weights(classes), bands=history.bands, rows=history.rows)
+    units = units.join(classes.select("ck", "rep"), "ck")
     links, covered = _links(history, classes)
     opened = materialize(units.join(covered, "rep", "left_anti").select("fp", "ck", "rep", "pos"), "open", dictionary=False)
 
     taken: list[DataFrame] = []
-    while not opened.isEmpty():
+    while (left := opened.count()) and (left > few or links.count() > few):
         by_rep = opened.groupBy("rep").agg(F.min("pos").alias("first"))
         linked = links.join(by_rep.select(F.col("rep").alias("b"), F.col("first").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
         by_rep = by_rep.join(linked.withColumnRenamed("a", "rep"), "rep", "left")
@@ -105,29 +249,35 @@ def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep:
         wins = materialize(wins.select("fp", "ck", "rep", "pos"), "wins", dictionary=False)
         taken.append(wins)
         gone = wins.select("rep").union(links.join(wins.select(F.col("rep").alias("a")), "a").select("b")).distinct()
-        left = opened.join(gone, "rep", "left_anti").join(wins.filter("fp is not null").select("fp").distinct(), "fp", "left_anti")
-        opened = materialize(left, "open", dictionary=False)
+        rest = opened.join(gone, "rep", "left_anti").join(wins.filter("fp is not null").select("fp").distinct(), "fp", "left_anti")
+        opened = materialize(rest, "open", dictionary=False)
+        reps = opened.select("rep").distinct()
+        links = links.join(reps.withColumnRenamed("rep", "a"), "a", "left_semi").join(reps.withColumnRenamed("rep", "b"), "b", "left_semi")
+        links = materialize(links, "links", dictionary=False)
+    if left:
+        taken.append(materialize(_one_by_one(opened, links), "wins", dictionary=False))
 
     if not taken:
         return rows.select("id")
     wins = reduce(DataFrame.unionByName, taken)
     if keep:
-        history.add(wins.select("fp", "ck", "rep").join(classes.select("rep", "words"), "rep"))
+        history.add(wins.select("fp", "ck", "rep").join(classes.select("rep", "words"), "rep").select("fp", "ck", "rep", "words"))
+        history.save()
     return rows.join(wins.select("pos"), "pos", "left_anti").select("id")
 
 
 def covered(
-    records: DataFrame, suppressed: DataFrame, texts: list[str], batch_col: str, batches: int = 2,
-    tenths: int = 7, bands: int = 32, rows: int = 3, miss: float = 0.001,
+    records: DataFrame, suppressed: DataFrame, texts: list[str], batch_col: str, batches: int = 4,
+    tenths: int = 7, bands: int = 32, rows: int = 4, miss: float = 0.0001, fan: int = 3, few: int = FEW,
 ) -> DataFrame:
     """Replay ``records`` (id, ``batch_col``, fp, texts) in order of batch and id as ``batches`` arrivals; covered ids.
 
-    Arrivals are ranges of ``batch_col`` with about as many records each; the result does not depend on their number.
-    Null texts count as empty; records without words are only similar to records of the same text; a null batch comes
-    first; a null id is left out; ids must be unique. A record of weighted similarity s to another shares a sort value with it
-    with probability 1 - (1 - s ** rows) ** bands: more ``rows`` mean smaller windows, as tables of many millions of like
-    records need, and then more ``bands``. The weighted similarity of records that differ in rare words is well below their
-    Jaccard similarity. Word weights come from the first arrival's classes.
+    Arrivals are ranges of ``batch_col`` with about as many records each; the result does not depend on their number, beyond
+    the few links that keys miss. Null texts count as empty; records without words are only similar to records of the same text;
+    a null batch comes first; a null id is left out; ids must be unique. A record of weighted similarity s to another shares a
+    sort value with it with probability 1 - (1 - s ** rows) ** bands: more ``rows`` mean smaller windows, as tables of many
+    millions of like records need, and then more ``bands``. The weighted similarity of records that differ in freely chosen
+    words is below their Jaccard similarity. Word weights come from the first arrival's classes.
     """
     records = records.filter("id is not null").withColumn("_b", F.coalesce(F.col(batch_col).cast("long"), F.lit(-1 << 62)))
     at = [(i + 1) / batches for i in range(batches - 1)] or [1.0]
@@ -135,12 +285,12 @@ def covered(
     edges = [None, *(sorted(set(cuts)) if batches > 1 and cuts else []), None]
     pos = _position(low_b or 0, high_b or 0, low or 0, high or 0)
     arrivals = materialize(wordsets.keyed(records, texts, "id", F.col("_b").alias("batch"), pos.alias("pos"), "fp"), "arrivals", dictionary=False)
-    out, history = [], History(None, tenths, miss, bands, rows)
+    out, history = [], History(records.sparkSession, None, None, tenths, miss, bands, rows, fan=fan)
     for after, upto in zip(edges, edges[1:]):
         part = arrivals
         part = part if after is None else part.filter(F.col("batch") > after)
         part = part if upto is None else part.filter(F.col("batch") <= upto)
-        out.append(accept_batch(history, part, suppressed, keep=upto is not None))
+        out.append(accept_batch(history, part, suppressed, keep=upto is not None, few=few))
     return reduce(DataFrame.unionByName, out)
 
 

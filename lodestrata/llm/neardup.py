@@ -32,15 +32,16 @@ class NearDuplicates:
 
 
 def near_duplicates(
-    records: DataFrame, id_col: str, texts: list[str], tenths: int = 8, bands: int = 32, rows: int = 3, miss: float = 0.001
+    records: DataFrame, id_col: str, texts: list[str], tenths: int = 8, bands: int = 32, rows: int = 4, miss: float = 0.0001
 ) -> NearDuplicates:
     """Classes of equal word sets, and all links of Jaccard similarity >= ``tenths`` / 10 between them.
 
-    Band keys of weighted minhashes bring candidates together. On each candidate three signature batches of 64 bits
-    are compared in turn; it is dropped as soon as the posterior probability of reaching the threshold falls below ``miss``.
-    Survivors are verified on their whole word sets, so no link is wrong. A link of weighted similarity s, which may be well below its
-    Jaccard similarity where rare words differ, has no common key with probability (1 - s ** rows) ** bands; ``miss`` is
-    the posterior at which a test gives up, not a bound on the links that the three tests lose together.
+    Band keys of weighted minhashes bring candidates together. On each candidate three signature batches are compared in
+    turn: 48 one-bit minhashes, then 64 and 128 word parities. It is dropped as soon as the posterior probability of reaching
+    the threshold falls below ``miss``. Survivors are verified on their whole word sets, so no link is wrong. A link of
+    weighted similarity s, which may be below its Jaccard similarity where freely chosen words differ, has no common key with
+    probability (1 - s ** rows) ** bands; more ``bands`` lose fewer links. ``miss`` is the posterior at which a test
+    gives up, not a bound on the links that the tests lose together.
     Copies are one class and cost one row. There is no cap on a band's size: a large one is a skewed join, which Spark
     splits. Null texts count as empty; records without words link only to records of the same text; ids must be unique
     and not null (rows with a null id are left out); other columns are ignored; an empty table gives empty results.
@@ -48,7 +49,7 @@ def near_duplicates(
     keys = wordsets.keyed(records.filter(records[id_col].isNotNull()), texts, records[id_col].alias("id"))
     words = wordsets.classes(keys)
     members = keys.select("id", "ck").join(words.select("ck", "rep"), "ck").select("id", "rep")
-    signer = wordsets.Signer(*wordsets.word_weights(words), bands=bands, rows=rows)
+    signer = wordsets.Signer(wordsets.word_weights(words), bands=bands, rows=rows)
     signed = wordsets.signed(words, signer)
     x, y = signed.alias("x"), signed.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & wordsets.agreeing("x", "y", tenths, miss))

@@ -8,7 +8,6 @@ cost one row. Sets without any word are only the same if their texts are.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +18,21 @@ from pyspark.sql import functions as F
 
 from lodestrata.storage import materialize
 
-#: A word in at least this part of the classes has its own weight; rarer ones share one. It bounds the broadcast table
-#: to (mean words of a class) / FREQUENT entries.
-FREQUENT = 0.001
-#: Signature batches of 64 one-bit minhashes each.
-BATCHES = 3
-SIGNATURE = [f"s{i}" for i in range(BATCHES)]
+#: Words in at least this part of the classes have a weight of their own, if they are among the LEADING most frequent.
+FREQUENT = 0.005
+#: Bounds the table of words that occur together (LEADING squared counts a task) and the broadcast weights.
+LEADING = 1024
+#: Fewest classes with a word before its company says anything.
+EVIDENCE = 30
+#: Least and greatest weight. Their ratio bounds how far the weighted similarity can fall below the Jaccard similarity.
+LEAST_WEIGHT, MOST_WEIGHT = 0.35, 2.0
+#: One-bit minhashes of a set; the upper bits of its first signature batch. The lower 16 hold the number of its words.
+MINHASHES = 48
+#: Parity bits of a set, in two further batches: bit i is the parity of the number of words hashed to i.
+PARITIES = 128
+SIGNATURE = ["bits", "odd0", "odd1"]
+#: Word counts of two sets together up to which parities are tested; beyond they are too full to tell.
+WIDEST = 512
 
 
 def word_string(*texts: Column) -> Column:
@@ -55,31 +63,85 @@ def classes(keys: DataFrame) -> DataFrame:
     return materialize(keys.groupBy("ck", "words").agg(F.min("id").alias("rep")), "classes", dictionary=False)
 
 
-def word_weights(words: DataFrame) -> tuple[dict[str, float], float]:
-    """Weights log(classes / classes with the word) of the frequent words, and the weight of all others.
+def word_weights(words: DataFrame) -> dict[str, float]:
+    """Weights of the LEADING frequent words: the surprise -log P(word | w) at the word w that predicts it best.
 
-    One pass over all classes; only words in a FREQUENT part of them come to the driver. Copies may be among the rows.
+    Phrases that many records share consist of words that predict each other and weigh little, however rare the phrase;
+    a word chosen freely weighs more. Words that are not in the result weigh MOST_WEIGHT. Both passes count over all classes:
+    the first counts words, the second, by matrix products within each task, which frequent words occur together.
     """
     n = max(1, words.count())
     counted = words.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").count()
-    rows = counted.filter(F.col("count") >= max(2, FREQUENT * n)).collect()
-    return {r["w"]: float(np.log((n + 1) / r["count"])) for r in rows if r["w"]}, float(np.log(1 / FREQUENT))
-
-
-def bit_thresholds(similarity: float, miss: float, batches: list[int]) -> list[int]:
-    """Fewest agreeing one-bit minhashes, after each batch, at which P(similarity reached | agreement) is still >= miss.
+    leading = counted.filter((F.col("count") >= max(EVIDENCE, FREQUENT * n)) & (F.col("w") != "")).orderBy(F.desc("count"), "w").limit(LEADING).collect()
+    if not leading:
+        return {}
+    names, sizes = [r["w"] for r in leading], np.array([r["count"] for r in leading], np.float64)
+
+    def together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column, k = pa.array(names), len(names)
+        total = np.zeros((k, k), np.float32)
+        for whole in it:
+            for at in range(0, whole.num_rows, 4096):
+                lists = pc.split_pattern(whole.slice(at, 4096)["words"], " ")
+                found = pc.fill_null(pc.index_in(lists.flatten(), column), -1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+                has = np.zeros((len(lists), k), np.float32)
+                has[row[found >= 0], found[found >= 0]] = 1
+                total += has.T @ has
+        counts = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel().astype(np.int32)), k).cast(pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), counts], ["i", "counts"])
+
+    def best(table: pa.Table) -> pa.Table:
+        i = table["i"][0].as_py()
+        both = np.sum([np.asarray(c) for c in table["counts"].to_pylist()], axis=0)
+        share = both / sizes  # P(word i | word j)
+        share[i] = 0
+        return pa.table({"i": pa.array([i], pa.int32()), "share": pa.array([float(share.max())])})
+
+    rows = words.select("words").mapInArrow(together, "i int, counts array<int>").groupBy("i").applyInArrow(best, "i int, share double")
+    shares = {r["i"]: r["share"] for r in rows.collect()}  # LEADING rows at most
+    weight = lambda share: float(np.clip(-np.log(max(share, 1e-9)), LEAST_WEIGHT, MOST_WEIGHT))
+    return {w: weight(shares.get(i, 0.0)) for i, w in enumerate(names)}
+
+
+def bit_threshold(similarity: float, miss: float, bits: int = MINHASHES) -> int:
+    """Fewest agreeing one-bit minhashes at which P(similarity reached | agreement) is still >= miss.
 
     Bits of two sets agree with probability (1 + J) / 2. The prior of J is uniform; the posterior is integrated on a grid.
     """
     grid = np.linspace(0, 1, 2001)[1:-1]
-    agree, out, seen = (1 + grid) / 2, [], 0
-    for size in batches:
-        seen += size
-        m = np.arange(seen + 1)[:, None]
-        like = m * np.log(agree) + (seen - m) * np.log(1 - agree)
-        like = np.exp(like - like.max(axis=1, keepdims=True))
-        tail = like[:, grid >= similarity].sum(axis=1) / like.sum(axis=1)
-        out.append(int(np.argmax(tail >= miss)))
+    agree, m = (1 + grid) / 2, np.arange(bits + 1)[:, None]
+    like = m * np.log(agree) + (bits - m) * np.log(1 - agree)
+    like = np.exp(like - like.max(axis=1, keepdims=True))
+    tail = like[:, grid >= similarity].sum(axis=1) / like.sum(axis=1)
+    return int(np.argmax(tail >= miss))
+
+
+def parity_thresholds(tenths: int, miss: float, bits: int) -> list[int]:
+    """Most differing parities among the first ``bits`` of PARITIES at which P(similarity reached | difference) >= miss,
+    for every total number of words from 0 to WIDEST.
+
+    Sets of n words together that differ in d words have J = (n - d) / (n + d). Each differing word flips one of all
+    parities, so the number of differing ones after d flips is a Markov chain; never is it above d. J has a uniform prior.
+    """
+    like = np.zeros((WIDEST + 1, bits + 1))  # row d: the distribution of differing parities
+    like[0, 0] = 1
+    h = np.arange(bits + 1)
+    for d in range(1, WIDEST + 1):
+        prev = like[d - 1]
+        like[d] = prev * (1 - bits / PARITIES)
+        like[d, 1:] += (prev * (bits - h) / PARITIES)[:-1]
+        like[d, :-1] += (prev * h / PARITIES)[1:]
+    out = []
+    for n in range(WIDEST + 1):
+        d = np.arange(n % 2, n + 1, 2)
+        prior = 2 * n / (n + d + 1e-9) ** 2
+        mass = like[d] * prior[:, None]
+        near = (n - d) * 10 >= tenths * (n + d)
+        total = mass.sum(axis=0)
+        tail = np.where(total > 0, mass[near].sum(axis=0) / np.maximum(total, 1e-300), 0)
+        fit = np.flatnonzero(tail >= miss)
+        out.append(int(fit[-1]) if len(fit) else 0)
     return out
 
 
@@ -93,27 +155,26 @@ def _mixed(words: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 class Signer:
-    """Signatures of word sets: ``bands`` keys of ``rows`` weighted minhashes, and 192 one-bit minhashes.
+    """Signatures of word sets: ``bands`` keys of ``rows`` weighted minhashes each, and the batches of SIGNATURE.
 
-    The weighted minhashes draw a word with a probability in proportion to its weight, so that words which most
-    records share bring few records together; the one-bit minhashes are unweighted and estimate Jaccard similarity.
+    The weighted minhashes draw a word with a probability in proportion to its weight, so that phrases which many
+    records share bring few of them together; the one-bit minhashes and parities are unweighted.
     """
 
-    def __init__(self, weights: dict[str, float], rare: float, bands: int, rows: int, seed: int = 7):
-        self.weights, self.rare, self.bands, self.rows = weights, rare, bands, rows
+    def __init__(self, weights: dict[str, float], bands: int, rows: int, seed: int = 7):
+        self.weights, self.bands, self.rows, self.seed = weights, bands, rows, seed
         rng = np.random.default_rng(seed)
         self.weighted = rng.integers(1, 2**63, bands * rows, dtype=np.uint64)
-        self.plain = rng.integers(1, 2**63, 64 * BATCHES, dtype=np.uint64)
+        self.plain = rng.integers(1, 2**63, MINHASHES, dtype=np.uint64)
 
     def sign(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(keys: records x bands, int64), (bits: records x BATCHES, int64) of non-empty word strings."""
+        """(keys: records x bands, int64 >= 0; signatures: records x 3, int64) of non-empty word strings."""
         lists = pc.split_pattern(words, " ")
         starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         at, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
-        weight = np.fromiter((self.weights.get(w, self.rare) for w in names), np.float32, len(names))
-        weight = np.maximum(weight, np.float32(1e-3))[:, None]
+        weight = np.fromiter((self.weights.get(w, MOST_WEIGHT) for w in names), np.float32, len(names))[:, None]
 
         keys = np.empty((len(starts), self.bands), np.int64)
         for b in range(self.bands):
@@ -124,25 +185,29 @@ class Signer:
             for r in range(self.rows):
                 h = (h ^ low[:, r]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(31)
-            keys[:, b] = (np.uint64(b) << np.uint64(48) | h >> np.uint64(16)).astype(np.int64)
+            keys[:, b] = (h >> np.uint64(1)).astype(np.int64)
 
-        bits = np.zeros((len(starts), BATCHES), np.uint64)
-        for j in range(0, 64 * BATCHES, 16):
+        sizes = np.diff(np.append(starts, len(at))).astype(np.uint64)
+        bits = np.minimum(sizes, np.uint64(0xFFFF))
+        for j in range(0, MINHASHES, 16):
             low = np.minimum.reduceat(_mixed(hashes, self.plain[j : j + 16])[at], starts, axis=0) & np.uint32(1)
             for k in range(16):
-                bits[:, j // 64] |= low[:, k].astype(np.uint64) << np.uint64((j + k) % 64)
-        return keys, bits.view(np.int64)
+                bits |= low[:, k].astype(np.uint64) << np.uint64(16 + j + k)
+        place = (hashes >> np.uint64(20)) % np.uint64(PARITIES)
+        flip = np.where(place[:, None] // np.uint64(64) == np.arange(2, dtype=np.uint64), np.uint64(1) << place[:, None] % np.uint64(64), np.uint64(0))
+        odd = np.bitwise_xor.reduceat(flip[at], starts, axis=0)
+        return keys, np.column_stack([bits, odd]).view(np.int64)
 
 
 def signed(words: DataFrame, signer: Signer) -> DataFrame:
-    """(key, rep, s0, s1, s2): one row per band of every class that has words."""
+    """(key, rep, SIGNATURE...): one row per band of every class that has words."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             if batch.num_rows:
-                keys, bits = signer.sign(batch["words"])
+                keys, signs = signer.sign(batch["words"])
                 n = keys.shape[1]
-                cols = [keys.ravel(), np.repeat(np.asarray(batch["rep"]), n), *(np.repeat(b, n) for b in bits.T)]
+                cols = [keys.ravel(), np.repeat(np.asarray(batch["rep"]), n), *(np.repeat(b, n) for b in signs.T)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "rep", *SIGNATURE])
 
     rows = words.filter("words <> ''").select("rep", "words")
@@ -151,11 +216,13 @@ def signed(words: DataFrame, signer: Signer) -> DataFrame:
 
 def agreeing(x: str, y: str, tenths: int, miss: float) -> Column:
     """Sequential test of the signature batches of rows ``x`` and ``y``; each is only looked at where those before pass."""
-    seen, tests = F.lit(0), []
-    for s, least in zip(SIGNATURE, bit_thresholds(tenths / 10, miss, [64] * BATCHES)):
-        seen = seen + 64 - F.bit_count(F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}")))
-        tests.append(seen >= least)
-    return reduce(Column.__and__, tests)
+    differ = lambda c: F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))
+    size = lambda r: F.col(f"{r}.bits").bitwiseAND(F.lit(0xFFFF))
+    words = (size(x) + size(y)).cast("int")
+    most = lambda bits: F.coalesce(F.get(F.lit(parity_thresholds(tenths, miss, bits)), words), F.lit(PARITIES))
+    minhashes = MINHASHES - F.bit_count(F.shiftrightunsigned(differ("bits"), 16)) >= bit_threshold(tenths / 10, miss)
+    half = F.bit_count(differ("odd0"))
+    return minhashes & (half <= most(PARITIES // 2)) & (half + F.bit_count(differ("odd1")) <= most(PARITIES))
 
 
 def verified(pairs: DataFrame, words_a: DataFrame, words_b: DataFrame, tenths: int) -> DataFrame:

@@ -85,19 +85,42 @@ def test_acceptance_matches_one_by_one(spark, batches):
     assert set(ids) == sequential(rows, suppressed)
 
 
-def test_runs_are_compacted(spark):
+def arrive(spark, history, rows, n, parts):
+    part = spark.createDataFrame([r for r in rows if r[0] % parts == n], SCHEMA)
+    keyed = wordsets.keyed(part, ["title", "description"], "id", (part["id"] + n * 10000).alias("pos"), "fp")
+    return {r[0] for r in incremental.accept_batch(history, keyed, spark.createDataFrame([], "fp string")).collect()}
+
+
+def test_runs_are_merged_and_outlive_the_application(spark, tmp_path):
     rows = corpus(60, seed=5)
-    history = incremental.History(max_runs=2, bands=48, miss=1e-4)
-    none = spark.createDataFrame([], "fp string")
-    out = set()
+    history = incremental.History(spark, str(tmp_path / "h"), fan=2)
+    out, levels = set(), []
     for n in range(4):
-        part = spark.createDataFrame([r for r in rows if r[0] % 4 == n], SCHEMA)
-        keyed = wordsets.keyed(part, ["title", "description"], "id", (part["id"] + n * 10000).alias("pos"), "fp")
-        out |= {r[0] for r in incremental.accept_batch(history, keyed, none).collect()}
-    assert len(history.runs) <= 3
+        out |= arrive(spark, history, rows, n, 4)
+        levels.append([level for _, level in history.runs])
+        history = incremental.History.load(spark, history.home)  # as a later application does
+    assert levels == [[0], [1], [1, 0], [2]]
+    assert len(list((tmp_path / "h" / "runs").iterdir())) == 1  # what was merged is gone
     order = sorted(rows, key=lambda r: (r[0] % 4, r[0]))
-    want = sequential([(r[0], i, *r[2:]) for i, r in enumerate(order)], set())
-    assert out == want
+    assert out == sequential([(r[0], i, *r[2:]) for i, r in enumerate(order)], set())
+
+
+def test_only_touched_ranges_are_read(spark, tmp_path):
+    history = incremental.History(spark, str(tmp_path / "h"), ranges=1024)
+    arrive(spark, history, corpus(60, seed=5), 0, 1)
+    plan = history.neighbours([3, 7])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(range" in plan or "PartitionFilters: [range" in plan
+    total, few = history.neighbours(list(range(1024))), history.neighbours([3, 7])
+    assert few.count() == total.filter("range in (3, 7)").count() < total.count()
+    assert total.groupBy("range").count().count() > 500
+
+
+def test_rounds_and_one_by_one_agree(spark):
+    rows = corpus(120, seed=12)
+    none = spark.createDataFrame([], "fp string")
+    for few in (0, 10):
+        got = incremental.covered(spark.createDataFrame(rows, SCHEMA), none, ["title", "description"], "run_id", batches=1, few=few)
+        assert {r[0] for r in got.collect()} == sequential(rows, set())
 
 
 def test_huge_ids_keep_their_order(spark):
@@ -107,8 +130,30 @@ def test_huge_ids_keep_their_order(spark):
 
 
 def test_thresholds_rise_with_similarity():
-    low, high = wordsets.bit_thresholds(0.5, 0.01, [64, 64]), wordsets.bit_thresholds(0.9, 0.01, [64, 64])
-    assert all(a < b for a, b in zip(low, high)) and low[1] > low[0]
+    assert wordsets.bit_threshold(0.5, 0.01) < wordsets.bit_threshold(0.9, 0.01)
+    loose, strict = wordsets.parity_thresholds(5, 0.001, 128), wordsets.parity_thresholds(9, 0.001, 128)
+    assert all(a >= b for a, b in zip(loose, strict)) and loose[70] > strict[70]
+    assert all(a <= b for a, b in zip(wordsets.parity_thresholds(7, 0.001, 64), wordsets.parity_thresholds(7, 0.001, 128)))
+
+
+def test_parities_never_exceed_the_words_that_differ():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    signer = wordsets.Signer({}, bands=2, rows=2)
+    for _ in range(50):
+        a = rng.sample(range(500), 40)
+        b = a[:34] + rng.sample(range(500, 900), 6)
+        signs = signer.sign(pa.array([" ".join(map(str, sorted(x))) for x in (a, b)]))[1]
+        assert sum(int(x).bit_count() for x in (signs[0, 1:] ^ signs[1, 1:]).view("uint64")) <= 12
+
+
+def test_phrases_weigh_less_than_free_words(spark):
+    rng = random.Random(6)
+    texts = [" ".join(sorted({*["when", "the", "arrives"], *(f"w{rng.randrange(60)}" for _ in range(8))})) for _ in range(600)]
+    weights = wordsets.word_weights(spark.createDataFrame([(t,) for t in texts], "words string"))
+    assert weights["arrives"] == wordsets.LEAST_WEIGHT and min(w for k, w in weights.items() if k[0] == "w" and k[1].isdigit()) > 1
+    assert wordsets.word_weights(spark.createDataFrame([], "words string")) == {}
 
 
 def rare_edits(n=60, seed=4):
