@@ -66,6 +66,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     files.delete(folder, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds."""
+    folder, files = _folder(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(folder)]
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file to any file system that Hadoop knows."""
     file, files = _folder(spark, path)
