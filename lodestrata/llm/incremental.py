@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import wordsets
-from lodestrata.storage import Shared, delete_path, materialize, temporary_path, write_text
+from lodestrata.storage import Shared, delete_path, list_names, materialize, temporary_path, write_text
 
 #: Open records and links up to which the rest of a batch is decided one by one in a single task.
 FEW = 200_000
@@ -92,28 +92,41 @@ class History:
         accepted.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
         self.accepted.append(name)
         words = self.spark.read.schema(accepted.schema).parquet(path)
-        self._write(wordsets.signed(words, self.signer), 0)
+        rows = wordsets.signed(words, self.signer).withColumn("range", _range(F.col("key"), self.ranges))
+        run = self._name()
+        _write_ranges(rows.repartition("range").sortWithinPartitions("range", "key"), f"{self.home}/runs/{run}")
+        self.runs.append((run, 0))
         level = 0
         while len(same := [r for r in self.runs if r[1] == level]) >= self.fan:
-            paths = [f"{self.home}/runs/{r[0]}" for r in same]
-            merged = reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in paths]).drop("range")
-            self.runs = [r for r in self.runs if r[1] != level]
+            self._merge([r[0] for r in same], level + 1)
             level += 1
-            self._write(merged, level)
-            self.save()  # before what the old state names goes
-            for p in paths:
-                delete_path(self.spark, p)
+
+    def _merge(self, names: list[str], level: int, at_once: int = 64) -> None:
+        """Runs as one of the next level: each range is read from all of them and sorted by one task, without a shuffle."""
+        name, paths = self._name(), [f"{self.home}/runs/{n}" for n in names]
+        schema = f"key long, rep long, {', '.join(f'{s} long' for s in wordsets.SIGNATURE)}"
+        have = {p: set(list_names(self.spark, p)) for p in paths}
+        for first in range(0, self.ranges, at_once):
+            parts = []
+            for r in range(first, min(first + at_once, self.ranges)):
+                folders = [f"{p}/range={r}" for p in paths if f"range={r}" in have[p]]
+                if folders:
+                    own = self.spark.read.schema(schema).parquet(*folders).coalesce(1).sortWithinPartitions("key")
+                    parts.append(own.withColumn("range", F.lit(r)))
+            if parts:
+                _write_ranges(reduce(DataFrame.unionByName, parts), f"{self.home}/runs/{name}")
+        self.runs = [r for r in self.runs if r[0] not in names] + [(name, level)]
+        self.save()  # before what the old state names goes
+        for p in paths:
+            delete_path(self.spark, p)
 
     def _name(self) -> str:
         self.written += 1
         return f"{self.written:09d}"
 
-    def _write(self, rows: DataFrame, level: int) -> None:
-        name = self._name()
-        ranged = rows.withColumn("range", _range(F.col("key"), self.ranges))
-        ranged = ranged.repartition("range").sortWithinPartitions("range", "key")
-        ranged.write.partitionBy("range").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{self.home}/runs/{name}")
-        self.runs.append((name, level))
+
+def _write_ranges(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").partitionBy("range").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
 def _range(key: Column, ranges: int) -> Column:
@@ -139,20 +152,30 @@ class _Filter:
 
 
 def _key_filter(own: DataFrame, keys: int) -> _Filter:
-    """The filter of the batch's keys: 16 bits a key, FILTER_BITS at most; only words of it come to the driver."""
-    size = min(FILTER_BITS, max(1 << 12, 1 << (16 * max(1, keys) - 1).bit_length()))
+    """The filter of the batch's keys: 8 to 16 bits a key, FILTER_BITS at most; only its words come to the driver.
+
+    Each task marks its keys in bits of its own and hands on chunks of these, which are united chunk by chunk.
+    """
+    size = min(FILTER_BITS, max(1 << 16, 1 << (8 * max(1, keys) - 1).bit_length()))
+    chunk = min(size, 1 << 22) // 64  # in words
 
     def marked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
         for batch in it:
-            places = np.concatenate(_Filter.places(np.asarray(batch["key"]), size))
-            word, at = np.unique(places >> 6, return_inverse=True)
-            mask = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(mask, at, np.uint64(1) << (places & 63).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], ["word", "mask"])
+            for places in _Filter.places(np.asarray(batch["key"]), size):
+                bits[places] = True
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        pieces = [packed[i : i + chunk * 8] for i in range(0, size // 8, chunk * 8)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "bits"])
+
+    def united(table: pa.Table) -> pa.Table:
+        whole = np.bitwise_or.reduce([np.frombuffer(b, np.uint64) for b in table["bits"].to_pylist()])
+        return pa.table({"piece": table["piece"].slice(0, 1), "bits": pa.array([whole.tobytes()], pa.binary())})
 
-    table = own.select("key").mapInArrow(marked, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    table = own.select("key").mapInArrow(marked, "piece int, bits binary").groupBy("piece").applyInArrow(united, "piece int, bits binary").toArrow()
     bits = np.zeros(size // 64, np.uint64)
-    bits[np.asarray(table["word"])] = np.asarray(table["mask"]).view(np.uint64)
+    for piece, own_bits in zip(table["piece"].to_pylist(), table["bits"].to_pylist()):
+        bits[piece * chunk : (piece + 1) * chunk] = np.frombuffer(own_bits, np.uint64)
     return _Filter(bits)
 
 
@@ -172,19 +195,23 @@ def _windows(history: History, own: DataFrame) -> DataFrame:
 def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((a, b) of similar classes of the batch, in both directions; (rep,) classes similar to an accepted one)."""
     own = wordsets.signed(classes, history.signer)
-    if history.runs:
-        own = materialize(own, "own", dictionary=False)
     like = wordsets.agreeing("x", "y", history.tenths, history.miss)
-    pair = [F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
     same = (F.col("x.key") == F.col("y.key")) & like
-    met = own.alias("x").join(own.alias("y"), same & (F.col("x.rep") < F.col("y.rep"))).select(*pair).distinct()
-    inner = wordsets.verified(met, classes, classes, history.tenths).select("a", "b")
+    pair = [F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
+    if history.runs:
+        own = materialize(own, "own", dictionary=False)
+    met = own.alias("x").join(own.alias("y"), same & (F.col("x.rep") < F.col("y.rep"))).select(*pair, F.lit(False).alias("old"))
+    met = met if history.runs else met.distinct()
+    if history.runs:
+        valid = F.col("x.rep").isNotNull()  # as the comparison above implies, so that both joins share an exchange
+        old = own.alias("x").join(_windows(history, own).alias("y"), same & valid).select(*pair, F.lit(True).alias("old"))
+        met = materialize(met.unionByName(old).distinct(), "met", dictionary=False)
+    inner = wordsets.verified(met.filter("not old").select("a", "b"), classes, classes, history.tenths).select("a", "b")
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")
     inner = materialize(inner.select(both).select("l.a", "l.b"), "links", dictionary=False)
     if not history.runs:
         return inner, inner.select(F.col("a").alias("rep")).limit(0)
-    met = own.alias("x").join(_windows(history, own).alias("y"), same).select(*pair).distinct()
-    outer = wordsets.verified(met, classes, history.known().select("rep", "words"), history.tenths)
+    outer = wordsets.verified(met.filter("old").select("a", "b"), classes, history.known().select("rep", "words"), history.tenths)
     return inner, outer.select(F.col("a").alias("rep")).distinct()
 
 
@@ -267,8 +294,8 @@ def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep:
 
 
 def covered(
-    records: DataFrame, suppressed: DataFrame, texts: list[str], batch_col: str, batches: int = 4,
-    tenths: int = 7, bands: int = 32, rows: int = 4, miss: float = 0.0001, fan: int = 3, few: int = FEW,
+    records: DataFrame, suppressed: DataFrame, texts: list[str], batch_col: str, batches: int = 3,
+    tenths: int = 7, bands: int = 32, rows: int = 4, miss: float = 0.0001, fan: int = 2, few: int = FEW,
 ) -> DataFrame:
     """Replay ``records`` (id, ``batch_col``, fp, texts) in order of batch and id as ``batches`` arrivals; covered ids.
 

@@ -68,7 +68,7 @@ def word_weights(words: DataFrame) -> dict[str, float]:
 
     Phrases that many records share consist of words that predict each other and weigh little, however rare the phrase;
     a word chosen freely weighs more. Words that are not in the result weigh MOST_WEIGHT. Both passes count over all classes:
-    the first counts words, the second, by matrix products within each task, which frequent words occur together.
+    the first counts words, the second, within each task, which frequent words occur together.
     """
     n = max(1, words.count())
     counted = words.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").count()
@@ -79,16 +79,24 @@ def word_weights(words: DataFrame) -> dict[str, float]:
 
     def together(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column, k = pa.array(names), len(names)
-        total = np.zeros((k, k), np.float32)
-        for whole in it:
-            for at in range(0, whole.num_rows, 4096):
-                lists = pc.split_pattern(whole.slice(at, 4096)["words"], " ")
-                found = pc.fill_null(pc.index_in(lists.flatten(), column), -1).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
-                has = np.zeros((len(lists), k), np.float32)
-                has[row[found >= 0], found[found >= 0]] = 1
-                total += has.T @ has
-        counts = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel().astype(np.int32)), k).cast(pa.list_(pa.int32()))
+        total = np.zeros(k * k, np.int64)
+        for batch in it:
+            lists = pc.split_pattern(batch["words"], " ")
+            found = pc.fill_null(pc.index_in(lists.flatten(), column), -1).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))[found >= 0]
+            own = found[found >= 0].astype(np.int64)
+            held = np.bincount(row, minlength=len(lists))  # leading words of each row; its pairs are the square
+            first, pairs = np.cumsum(held) - held, np.cumsum(held**2)
+            at = 0
+            while at < len(lists):  # some four million pairs at once, or one row
+                stop = max(at + 1, int(np.searchsorted(pairs, (pairs[at - 1] if at else 0) + (1 << 22), "right")))
+                words_at = slice(first[at], first[stop - 1] + held[stop - 1])
+                each = held[row[words_at]]
+                left = np.repeat(own[words_at], each)
+                step = np.arange(len(left)) - np.repeat(np.cumsum(each) - each, each)
+                total += np.bincount(left * k + own[np.repeat(first[row[words_at]], each) + step], minlength=k * k)
+                at = stop
+        counts = pa.FixedSizeListArray.from_arrays(pa.array(total.astype(np.int32)), k).cast(pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), counts], ["i", "counts"])
 
     def best(table: pa.Table) -> pa.Table:

@@ -55,12 +55,22 @@ def test_leaks_match_brute_force(spark):
     assert leakage.leaks(spark.createDataFrame([], DOCS), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
-def test_items_in_several_groups(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "MOST_BYTES", 100)
-    items = [(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(5)]
-    docs = [doc(i, items[i % 5][1]) for i in range(20)]
+def test_a_full_filter_and_shift_table_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "SHIFTS", 64)
+    monkeypatch.setattr(leakage, "FILTER_BITS", 256)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(60)]
+    docs = [doc(i, "lead " * (i % 7) + " ".join(items[i % 60][1].split()[i % 20 : i % 20 + 14])) for i in range(120)] + [doc(500, "other words " * 50)]
     got = {tuple(r) for r in leakage.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(i, i % 5) for i in range(20)}
+    assert got == {(i, i % 60) for i in range(120)} == brute(docs, items)
+
+
+def test_tables_do_not_grow_with_the_items(spark):
+    few, many = (spark.range(n).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(1, 40), k -> concat('w', cast(hash(id, k) as string)))) as text") for n in (50, 20000))
+    sizes = []
+    for items in (few, many):
+        made = leakage.tables(items, leakage.patterns(items, 13), 13)
+        sizes.append((len(made.shifts), len(made.bits) * 64))
+    assert sizes[0][0] == sizes[1][0] == leakage.SHIFTS and sizes[1][1] <= leakage.FILTER_BITS
 
 
 # --- packing ---
@@ -78,15 +88,45 @@ def test_packing_covers_every_token_once(spark):
     assert fill.max() <= 2048 and fill.sum() / (2048 * len(fill)) > 0.9
     split = got[got.doc_id != 902].groupby("doc_id").part.nunique()
     assert all(sizes[d] > 2048 for d in split[split > 1].index)
-    assert not got.duplicated(["container_id", "place"]).any()
+    assert not got.duplicated(["container_id", "window", "place"]).any()
+    assert (got.groupby(["container_id", "window"]).tokens.sum() <= got.groupby(["container_id", "window"]).window_size.first()).all()
+    assert got.groupby("container_id").step_group.nunique().max() == 1
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_fill_is_no_worse_than_first_fit():
-    sizes = np.random.default_rng(2).integers(1, 2049, 3000)
-    where = packing.fill(sizes, 2048, [1024, 512])
-    assert np.bincount(where, weights=sizes).max() <= 2048
-    assert len(set(where.tolist())) <= 1.03 * -(-sizes.sum() // 2048) + 1
+def test_every_tier_shapes_the_packing():
+    sizes = np.random.default_rng(2).choice([*range(20, 400), *range(20, 400), *range(20, 400), *range(520, 900), *range(1100, 2049)], 3000)
+    results = {}
+    for tiers in ([2048, 1024, 512], [2048, 1024], [2048, 512], [2048]):
+        where, kinds = packing.windows(sizes, tiers)
+        used = np.bincount(where, weights=sizes)
+        assert (used <= kinds).all() and len(used) == len(kinds) and (where >= 0).all()
+        boxes = packing.containers(kinds, used, 2048)
+        assert np.bincount(boxes, weights=kinds).max() <= 2048
+        results[tuple(tiers)] = (sorted(kinds.tolist()), where.tolist(), len(set(boxes.tolist())))
+    assert all(r[2] <= 1.02 * results[(2048,)][2] for r in results.values())
+    assert len({str(r[0]) for r in results.values()}) == 4  # no tier can be left out without another result
+    kinds = results[2048, 1024, 512][0]
+    assert {512, 1024, 2048} == set(kinds)
+
+
+def test_short_items_only_fill_gaps_of_long_windows():
+    where, kinds = packing.windows(np.array([1500, 548, 300, 600, 424, 180]), [2048, 1024, 512])
+    assert kinds[where].tolist() == [2048, 2048, 2048, 1024, 1024, 2048]  # 300 and 180 alone would leave a window of 512 too empty
+    where, kinds = packing.windows(np.array([1500, 548, 300, 600, 424, 210]), [2048, 1024, 512])
+    assert kinds[where].tolist() == [2048, 2048, 512, 1024, 1024, 512]
+
+
+def test_step_groups_have_one_layout_and_even_cost():
+    rng = np.random.default_rng(3)
+    cost, layout = rng.integers(100, 4000, 400).astype(float), rng.choice([512, 1024, 2048], 400)
+    groups = packing.balanced(cost, layout, 8)
+    for kind in (512, 1024, 2048):
+        sums = [cost[groups == g].sum() for g in set(groups[layout == kind].tolist())]
+        members = [int((groups == g).sum()) for g in set(groups[layout == kind].tolist())]
+        assert max(members) <= 8 and max(members) - min(members) <= 1
+        assert max(sums) / (sum(sums) / len(sums)) < 1.2
+    assert all(len(set(layout[groups == g].tolist())) == 1 for g in set(groups.tolist()))
 
 
 # --- responses ---
