@@ -66,6 +66,14 @@ def delete_path(spark: SparkSession, path: str) -> None:
     files.delete(folder, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing lazy needs any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/lodestrata/" in folder:
+                delete_path(df.sparkSession, folder)
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names of what a folder holds."""
     folder, files = _folder(spark, path)
