@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import wordsets
-from lodestrata.storage import Shared, delete_path, list_names, materialize, temporary_path, write_text
+from lodestrata.storage import Shared, delete_path, discard, list_names, materialize, temporary_path, write_text
 
 #: Open records and links up to which the rest of a batch is decided one by one in a single task.
 FEW = 200_000
@@ -193,7 +193,7 @@ def _windows(history: History, own: DataFrame) -> DataFrame:
 
 
 def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((a, b) of similar classes of the batch, in both directions; (rep,) classes similar to an accepted one)."""
+    """((a, b) of similar classes of the batch, in both directions; (rep,) classes similar to an accepted one), both written."""
     own = wordsets.signed(classes, history.signer)
     like = wordsets.agreeing("x", "y", history.tenths, history.miss)
     same = (F.col("x.key") == F.col("y.key")) & like
@@ -211,8 +211,11 @@ def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     inner = materialize(inner.select(both).select("l.a", "l.b"), "links", dictionary=False)
     if not history.runs:
         return inner, inner.select(F.col("a").alias("rep")).limit(0)
+    discard(own)
     outer = wordsets.verified(met.filter("old").select("a", "b"), classes, history.known().select("rep", "words"), history.tenths)
-    return inner, outer.select(F.col("a").alias("rep")).distinct()
+    outer = materialize(outer.select(F.col("a").alias("rep")).distinct(), "covered", dictionary=False)
+    discard(met)
+    return inner, outer
 
 
 def _one_by_one(units: DataFrame, links: DataFrame) -> DataFrame:

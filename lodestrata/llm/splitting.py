@@ -1,26 +1,31 @@
-"""Splitting oversized items at natural boundaries, by byte ranges.
-
-An item is cut into ranges of RANGE characters with a halo on both sides. A worker sees one range: it moves both ends to
-the next line start, scans the range once for every lexical state in which it may begin, and reports for each the state
-and bracket depth at its end, the lines in it and the lines where units begin. Stitching the ranges of an item in order
-picks the true state of each, and prefix sums turn range-relative lines, depths and offsets into absolute ones. No task
-holds more text than a range; only line lengths and boundaries of an item come together.
+"""Splitting oversized items at natural boundaries, by ranges.
+
+An item is cut into ranges of RANGE characters (of a file: bytes) with a halo on both sides, which are spread over all tasks;
+of a file each task reads only its ranges, so that no file is ever loaded whole. A worker moves both ends of its range to the
+next line start, scans it once for every lexical state in which it may begin, and reports for each the state and bracket depth
+at its end, the lines in it and the lines where units begin. Stitching picks the true state of each range: the reports of BLOCK
+ranges are composed to one, the blocks of an item are followed in order, and prefix sums turn relative lines, depths and
+offsets into absolute ones. Pieces are then emitted block by block, a new piece beginning with each block of a giant item. No
+task holds more than a block's boundaries and line lengths, or one small row for each block of an item.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import lexing
+from lodestrata.storage import materialize
 
 RANGE, HALO = 1 << 16, 4096
+#: Ranges that are stitched together by one task; with RANGE the most text between two forced cuts.
+BLOCK = 64
 
 _PY_UNIT = re.compile(r"(?:(?:async[ \t]+)?def|class)[ \t]+\w+")
 _GO_UNIT = re.compile(r"func\b|type\b[ \t]*(?:\w|\()")
@@ -194,63 +199,191 @@ def _line_start(text: str, at: int) -> int:
     return i + 1 if i >= 0 else at
 
 
-RANGES = (
-    "item long, part int, state string, last string, change int, lines int, chars array<int>, unit_line array<int>, unit_depth array<int>"
-)
+SLICES = "item long, path string, declared string, part int, head int, stop int, last boolean, slice string"
+SCANS = "item long, block int, part int, state string, last string, change int, lines int, size long, chars array<int>, unit_line array<int>, unit_depth array<int>"
+STARTS = "item long, block int, state string, depth int, line long, offset long"
+
+
+def _batches(rows: Iterator[tuple], schema: str, size: int = 128) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of at most ``size`` rows."""
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    fields = [f.split() for f in schema.split(", ")]
+    while some := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*some), fields)], [n for n, _ in fields])
+
+
+def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in it:
+        yield from batch.to_pylist()
+
 
+def slices(items: DataFrame, limit: int, size: int = RANGE) -> DataFrame:
+    """The ranges, with halos, of every item (item, path, declared, content) longer than ``limit``, spread over all tasks."""
 
-def ranges(items: DataFrame, limit: int, size: int) -> DataFrame:
-    """One row per range and start state of every item longer than ``limit``. ``items``: item, path, declared, content."""
-    long = items.filter(F.char_length("content") > limit).withColumn("n", F.char_length("content"))
-    parts = F.sequence(F.lit(0), ((F.col("n") - 1) / size).cast("int"))
-    cut = long.select("item", "path", "declared", "n", F.posexplode(F.transform(parts, lambda i: F.substring(F.col("content"), F.greatest(F.lit(1), i * size + 1 - HALO), F.least(i * size, F.lit(HALO)) + size + HALO))).alias("part", "slice"))
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for r in _rows(it):
+                text = r["content"]
+                for part, at in enumerate(range(0, len(text), size)):
+                    low = max(0, at - HALO)
+                    piece = text[low : at + size + HALO]
+                    yield r["item"], r["path"], r["declared"], part, at - low, min(at - low + size, len(piece)), at + size >= len(text), piece
+
+        return _batches(rows(), SLICES)
+
+    long = items.filter("item is not null and content is not null").filter(F.char_length("content") > limit)
+    return _spread(long.select(F.col("item").cast("long").alias("item"), "path", "declared", "content").mapInArrow(cut, SLICES))
+
+
+def file_slices(files: DataFrame, limit: int, size: int = RANGE) -> DataFrame:
+    """The same of files (item, uri, path, declared, bytes) of more than ``limit`` bytes; each range is read by itself.
+
+    ``uri`` is one that all executors can open (file, hdfs, s3, gs). Bytes that are no UTF-8 become replacement characters.
+    """
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def start(data: bytes, at: int) -> int:
+            while at < len(data) and data[at] & 0xC0 == 0x80:  # within a character
+                at += 1
+            return at
+
+        def rows() -> Iterator[tuple]:
+            for r in _rows(it):
+                system, path = fs.FileSystem.from_uri(r["uri"])
+                at, end = r["part"] * size, min((r["part"] + 1) * size, r["bytes"])
+                low = max(0, at - HALO)
+                with system.open_input_file(path) as f:
+                    data = f.read_at(min(end + HALO, r["bytes"]) - low, low)
+                cuts = start(data, 0), start(data, at - low), start(data, end - low)
+                head, own, tail = (data[x:y].decode("utf-8", "replace") for x, y in zip(cuts, (*cuts[1:], len(data))))
+                yield r["item"], r["path"], r["declared"], r["part"], len(head), len(head) + len(own), end >= r["bytes"], head + own + tail
+
+        return _batches(rows(), SLICES)
+
+    parts = F.explode(F.sequence(F.lit(0), ((F.col("bytes") - 1) / size).cast("int"))).alias("part")
+    listed = files.filter(F.col("bytes") > limit).select("item", "uri", "path", "declared", F.col("bytes").cast("long").alias("bytes"), parts)
+    return _spread(listed).mapInArrow(read, SLICES)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows evenly over as many tasks as a shuffle has; their number is given, so that few large rows are not put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "item", "part")
+
+
+def scans(cut: DataFrame) -> DataFrame:
+    """One row per range and start state."""
 
     def scanned(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            out = []
-            for r in batch.to_pylist():
-                lang = lexing.language(r["path"], r["declared"])
-                text, head = r["slice"], min(r["part"] * size, HALO)
-                begin = _line_start(text, head)
-                end = len(text) if (r["part"] + 1) * size >= r["n"] else _line_start(text, head + size)
-                pieces = text[begin:end].split("\n") if begin < end else [""]
-                chars = [len(p) + 1 for p in pieces]
+        def rows() -> Iterator[tuple]:
+            for r in _rows(it):
+                lang, text = lexing.language(r["path"], r["declared"]), r["slice"]
+                begin = _line_start(text, r["head"])
+                end = max(begin, len(text) if r["last"] else _line_start(text, r["stop"]))
+                lines = text[begin:end].split("\n")
+                chars = [len(x) + 1 for x in lines]
                 chars[-1] -= 1
                 for state in _states(lang) if r["part"] else ["code"]:
-                    last, change, units = scan(text, begin, max(begin, end), lang, state)
-                    out.append((r["item"], r["part"], state, last, change, len(pieces) - 1, chars if state == "code" else None, [u[0] for u in units], [u[1] for u in units]))
-            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3]
-            names = ["item", "part", "state", "last", "change", "lines", "chars", "unit_line", "unit_depth"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 9, types)], names)
-
-    return cut.mapInArrow(scanned, RANGES)
-
-
-def stitched(scans: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(0-based lines where units begin, characters of every line with its newline) of one item."""
-    parts: dict[int, dict[str, tuple]] = {}
-    for row in scans.itertuples(index=False):
-        parts.setdefault(row.part, {})[row.state] = row
-    state, depth, line, units, chars = "code", 0, 0, [], [0]
-    for p in sorted(parts):
-        row = parts[p].get(state) or parts[p]["code"]
-        units += [line + u for u, d in zip(row.unit_line, row.unit_depth) if depth + d == 0]
-        own = np.asarray(parts[p]["code"].chars, np.int64)
-        chars[-1] += int(own[0])
-        chars += own[1:].tolist()
-        line, depth, state = line + row.lines, max(0, depth + row.change), row.last
-    return np.unique(np.array([u for u in units if u >= 0], np.int64)), np.array(chars, np.int64)
-
-
-def pieces(chars: np.ndarray, units: np.ndarray, blank: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+                    last, change, units = scan(text, begin, end, lang, state)
+                    at = r["item"], r["part"] // BLOCK, r["part"], state
+                    yield *at, last, change, len(lines) - 1, end - begin, chars if state == "code" else None, [u[0] for u in units], [u[1] for u in units]
+
+        return _batches(rows(), SCANS)
+
+    return materialize(cut.mapInArrow(scanned, SCANS), "scans")
+
+
+def _by_block(rows: DataFrame, f: Callable[[tuple, list[dict]], Iterator[tuple]], schema: str, *keys: str) -> DataFrame:
+    """``f`` of the rows of each combination of ``keys``, in order of all their columns but arrays."""
+
+    def grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = groupby(_rows(it), key=lambda r: tuple(r[k] for k in keys))
+        return _batches((row for key, own in groups for row in f(key, list(own))), schema, 4096)
+
+    order = [c for c in ("item", "block", "of", "part", "state") if c in rows.columns]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, *(c for c in order if c not in keys)).mapInArrow(grouped, schema)
+
+
+def _follow(parts: list[dict], state: str, depth: int) -> Iterator[tuple[dict, int]]:
+    """(the true report, depth at its start) of consecutive ranges."""
+    by: dict[int, dict[str, dict]] = {}
+    for r in parts:
+        by.setdefault(r["part"], {})[r["state"]] = r
+    for p in sorted(by):
+        own = by[p].get(state) or by[p]["code"]
+        yield own, depth
+        state, depth = own["last"], max(0, depth + own["change"])
+
+
+def block_starts(reports: DataFrame) -> DataFrame:
+    """(item, block, state, depth, line, offset) at the start of every block but the first."""
+    light = reports.drop("chars", "unit_line", "unit_depth")
+    giant = light.join(light.filter("block > 0").select("item").distinct(), "item", "left_semi")
+
+    def composed(key: tuple, parts: list[dict]) -> Iterator[tuple]:
+        for state in sorted({r["state"] for r in parts if r["part"] == parts[0]["part"]}):
+            last, change, least, lines, size = state, 0, 0, 0, 0  # depth becomes max(least, depth + change)
+            for own, _ in _follow(parts, state, 0):
+                last, change, least = own["last"], change + own["change"], max(0, least + own["change"])
+                lines, size = lines + own["lines"], size + own["size"]
+            yield *key, state, last, change, least, lines, size
+
+    whole = "item long, block int, state string, last string, change int, least int, lines long, size long"
+    blocks = _by_block(giant, composed, whole, "item", "block")
+
+    def followed(key: tuple, blocks: list[dict]) -> Iterator[tuple]:
+        by: dict[int, dict[str, dict]] = {}
+        for r in blocks:
+            by.setdefault(r["block"], {})[r["state"]] = r
+        state, depth, line, offset = "code", 0, 0, 0
+        for b in sorted(by):
+            if b:
+                yield *key, b, state, depth, line, offset
+            own = by[b].get(state) or by[b]["code"]
+            state, depth = own["last"], max(own["least"], depth + own["change"])
+            line, offset = line + own["lines"], offset + own["size"]
+
+    return _by_block(blocks, followed, STARTS, "item")
+
+
+def _placed(reports: DataFrame) -> DataFrame:
+    """Reports with what holds at the start of their block (columns state0, depth0, line0, offset0; null in the first)."""
+    starts = block_starts(reports)
+    names = {c: f"{c}0" for c in ("state", "depth", "line", "offset")}
+    return reports.join(starts.withColumnsRenamed(names), ["item", "block"], "left")
+
+
+def _block_units(own: list[dict]) -> list[int]:
+    """Lines, within a block, where units begin; negative ones belong to the block before."""
+    line, out = 0, []
+    for r, depth in _follow(own, own[0]["state0"] or "code", own[0]["depth0"] or 0):
+        out += [line + u for u, d in zip(r["unit_line"], r["unit_depth"]) if depth + d == 0]
+        line += r["lines"]
+    return sorted(set(out))
+
+
+def _line_lengths(parts: list[dict]) -> list[int]:
+    """Characters of every line of consecutive ranges, with its newline; the last line may go on."""
+    chars = [0]
+    for r in parts:
+        if r["chars"] is not None:
+            chars[-1] += r["chars"][0]
+            chars += r["chars"][1:]
+    return chars
+
+
+def pieces(chars: np.ndarray, units: np.ndarray, blank: np.ndarray, limit: int, overlap: int, fresh: int = 0) -> list[tuple[int, int, int, int]]:
     """(begin offset, end offset, first line, last line), 0-based, of pieces of at most ``limit`` characters.
 
     A piece ends before the last unit that fits, else after the last blank line, else after the last line that fits; a
     line longer than the limit is cut within. The next piece repeats ``overlap`` lines, fewer where else it could not grow.
+    The lines before ``fresh`` are only there to be repeated.
     """
     ends = np.cumsum(chars)
     starts = ends - chars
-    n, out, first, fresh = len(chars), [], 0, 0
+    n, out, first = len(chars), [], max(0, fresh - overlap)
     while fresh < n:
         if chars[fresh] > limit:
             for at in range(int(starts[fresh]), int(ends[fresh]), limit):
@@ -271,33 +404,65 @@ def pieces(chars: np.ndarray, units: np.ndarray, blank: np.ndarray, limit: int,
     return out
 
 
-def _grouped(scans: DataFrame, f, schema: str) -> DataFrame:
-    def one(scan: pd.DataFrame) -> pd.DataFrame:
-        return f(int(scan["item"].iloc[0]), *stitched(scan))
+def cut_lines_of(cut: DataFrame) -> DataFrame:
+    """(item, line) of ranges as ``slices`` and ``file_slices`` give them; see ``cut_lines``."""
+    reports = scans(cut)
+
+    def units(key: tuple, own: list[dict]) -> Iterator[tuple]:
+        first = own[0]["line0"] or 0
+        return ((key[0], first + u) for u in _block_units(own) if first + u > 0)
 
-    return scans.groupBy("item").applyInPandas(one, schema)
+    lines = _by_block(_placed(reports), units, "item long, line long", "item", "block").distinct()
+    none = reports.filter("part = 0").select("item").distinct().withColumn("line", F.lit(-1).cast("long"))
+    least = lines.unionByName(none).groupBy("item").agg(F.max("line").alias("most"))
+    return lines.unionByName(least.filter("most < 0").select("item", F.col("most").alias("line")))
 
 
 def cut_lines(items: DataFrame, limit: int = 6000, size: int = RANGE) -> DataFrame:
     """(item, line): 0-based lines other than the first at which units begin in items over ``limit``; -1 where none does.
 
     ``items``: item, path, declared, content. Null contents, ids and short items give no rows. Unknown languages have none.
+    Items of the same id count as one; ids should be unique.
     """
-
-    def f(item: int, units: np.ndarray, chars: np.ndarray) -> pd.DataFrame:
-        lines = units[units > 0]
-        return pd.DataFrame({"item": item, "line": lines if len(lines) else np.array([-1])})
-
-    return _grouped(ranges(items.filter("item is not null and content is not null"), limit, size), f, "item long, line long")
+    return cut_lines_of(slices(items, limit, size))
+
+
+def split_of(cut: DataFrame, limit: int = 6000, overlap: int = 10) -> DataFrame:
+    """(item, piece, begin, end, first_line, last_line) of ranges as ``slices`` and ``file_slices`` give them; see ``split``."""
+    reports = _placed(scans(cut))
+    # A block sees the last range of the one before, whose last lines its first piece repeats.
+    before = (F.col("part") % BLOCK == BLOCK - 1) & F.col("chars").isNotNull()
+    shared = reports.withColumn("of", F.explode(F.when(before, F.array(F.col("block"), F.col("block") + 1)).otherwise(F.array("block"))))
+
+    def emitted(key: tuple, rows: list[dict]) -> Iterator[tuple]:
+        own = [r for r in rows if r["block"] == key[1]]
+        if not own:
+            return
+        context = _line_lengths([r for r in rows if r["block"] != key[1]])
+        chars = _line_lengths(own)
+        fresh = 0
+        if len(context) > 1 and context[-1] == 0:  # the block begins a line
+            context = context[:-1][-overlap:] if overlap else []
+            fresh, chars = len(context), context + chars
+        if len(chars) > 1 and chars[-1] == 0:
+            chars = chars[:-1]  # nothing comes after the last newline here
+        units = np.array([fresh + u for u in _block_units(own) if u >= 0], np.int64)
+        line0, offset0 = own[0]["line0"] or 0, own[0]["offset0"] or 0
+        at = offset0 - sum(chars[:fresh])
+        lengths = np.array(chars, np.int64)
+        for begin, end, first, last in pieces(lengths, units, np.flatnonzero(lengths <= 1), limit, overlap, fresh):
+            yield key[0], key[1], at + begin, at + end, line0 - fresh + first, line0 - fresh + last
+
+    found = _by_block(shared, emitted, "item long, block int, begin long, end long, first_line long, last_line long", "item", "of")
+    found = materialize(found, "pieces")
+    # Pieces are numbered by their place in the block and the pieces of the blocks before.
+    sizes = found.groupBy("item", "block").count()
+    earlier = F.coalesce(F.sum("count").over(Window.partitionBy("item").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("item", "block").orderBy("end"))
+    rows = found.withColumn("place", within).join(sizes.select("item", "block", earlier.alias("earlier")), ["item", "block"])
+    return rows.select("item", (F.col("earlier") + F.col("place") - 1).cast("int").alias("piece"), "begin", "end", "first_line", "last_line")
 
 
 def split(items: DataFrame, limit: int = 6000, overlap: int = 10, size: int = RANGE) -> DataFrame:
     """(item, piece, begin, end, first_line, last_line): the pieces of items over ``limit`` by offset; lines 0-based."""
-
-    def f(item: int, units: np.ndarray, chars: np.ndarray) -> pd.DataFrame:
-        cut = pieces(chars, units, np.flatnonzero(chars <= 1), limit, overlap)
-        table = pd.DataFrame(cut, columns=["begin", "end", "first_line", "last_line"])
-        return table.assign(item=item, piece=range(len(table)))[["item", "piece", "begin", "end", "first_line", "last_line"]]
-
-    rows = ranges(items.filter("item is not null and content is not null"), limit, size)
-    return _grouped(rows, f, "item long, piece int, begin long, end long, first_line long, last_line long")
+    return split_of(slices(items, limit, size), limit, overlap)

@@ -1,6 +1,7 @@
 import ast
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import docpairs, lexing, splitting
 
@@ -203,3 +204,46 @@ def test_arrow_functions_of_any_signature(spark):
     at = [n for n, line in enumerate(ts.split("\n")) if line.startswith(("export const f", "const g", "const h"))]
     got = sorted(tuple(r) for r in splitting.cut_lines(spark.createDataFrame(rows, ITEMS)).collect())
     assert got == [(i, n) for i in (1, 2) for n in at]
+
+
+def giant(n):
+    """A Python text with long strings that hold definitions, so that ranges begin within them."""
+    out = []
+    for i in range(n):
+        out.append(f"# above {i}\n@mark({i})\ndef f{i}(a, b):\n    text = \"\"\"\n" + f"def no{i}(): pass\n" * (i % 40) + '    """\n    return (a,\n            b)\n\n\n')
+        if i % 9 == 0:
+            out.append(f"class C{i}:\n" + "    x = 1\n" * 30 + "\n")
+    return "".join(out)
+
+
+def test_giant_items_are_stitched_in_blocks(spark, monkeypatch, tmp_path):
+    text = giant(400)
+    items = spark.createDataFrame([(1, "a.py", None, text, 0, 0), (2, "b.py", None, "y = 1\n" * 3000, 0, 0), (3, "c.js", None, "z" * 50000, 0, 0)], ITEMS)
+    want = {tuple(r) for r in splitting.cut_lines(items, size=1 << 22).collect()}
+    assert len(want) > 400 and (2, -1) in want and (3, -1) in want
+    monkeypatch.setattr(splitting, "BLOCK", 3)
+    assert {tuple(r) for r in splitting.cut_lines(items, size=5000).collect()} == want
+    rows = sorted(tuple(r) for r in splitting.split(items, size=5000).collect())
+    assert len({r[:2] for r in rows}) == len(rows)
+    for item, content in ((1, text), (2, "y = 1\n" * 3000), (3, "z" * 50000)):
+        own = [r for r in rows if r[0] == item]
+        assert [r[1] for r in own] == list(range(len(own)))
+        assert own[0][2] == 0 and own[-1][3] == len(content) and all(0 < e - b <= 6000 for _, _, b, e, _, _ in own)
+        assert all(p[2] < q[2] <= p[3] < q[3] for p, q in zip(own, own[1:]))
+        for _, _, b, e, first, last in own:
+            assert content[:b].count("\n") == first and content[: max(b, e - 1)].count("\n") == last
+    (tmp_path / "a.py").write_text(text)
+    files = spark.createDataFrame([(1, f"file://{tmp_path}/a.py", "a.py", None, len(text))], "item long, uri string, path string, declared string, bytes long")
+    cut = splitting.file_slices(files, 6000, 5000)
+    assert {tuple(r) for r in splitting.cut_lines_of(cut).collect()} == {r for r in want if r[0] == 1}
+    assert sorted(tuple(r) for r in splitting.split_of(cut).collect()) == [r for r in rows if r[0] == 1]
+    assert cut.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_files_that_are_no_ascii_are_read_by_ranges(spark, tmp_path):
+    text = "# é\n\n" + "".join(f"## Überschrift {i} ßß\n\nTëxt — {i}\n\n" for i in range(900))
+    (tmp_path / "a.md").write_bytes(text.encode() + b"\xff\xfe end\n")
+    size = (tmp_path / "a.md").stat().st_size
+    files = spark.createDataFrame([(1, f"file://{tmp_path}/a.md", "a.md", None, size)], "item long, uri string, path string, declared string, bytes long")
+    got = {r["line"] for r in splitting.cut_lines_of(splitting.file_slices(files, 6000, 4001)).collect()}
+    assert got == {2 + 4 * i for i in range(900)}
