@@ -53,6 +53,12 @@ def counts(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("repo_path").agg(F.count("*").alias("chunks"), F.count_distinct("file_path").alias("files"))
 
 
+def hashes(chunks: DataFrame) -> DataFrame:
+    """(repo_path, file_path, hashes): the sorted set of content hashes of every indexed file."""
+    distinct = chunks.select("repo_path", "file_path", "content_hash").distinct()
+    return distinct.groupBy("repo_path", "file_path").agg(F.sort_array(F.collect_list("content_hash")).alias("hashes"))
+
+
 def latest(chunks: DataFrame) -> DataFrame:
     """Of chunks indexed again at the same place and for the same model the newest."""
     newest = F.row_number().over(Window.partitionBy("repo_path", "file_path", "start_line", "embed_model").orderBy(F.desc("updated_at"), F.desc("id")))

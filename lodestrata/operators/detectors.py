@@ -197,10 +197,11 @@ def stale_ci_paths(lines: DataFrame, files: DataFrame) -> DataFrame:
 # --- configuration and dependencies ---------------------------------------------------------------------------------------
 
 # Variables of systems and tools that nobody documents.
-COMMON_VARIABLES = (
-    "CI COMPOSE_PROJECT_NAME DOCKER_HOST GITHUB_ACTIONS GITHUB_REF GITHUB_REPOSITORY GITHUB_SHA GITHUB_TOKEN HOME LANG LC_ALL NODE_ENV NODE_OPTIONS NODE_PATH NPM_TOKEN"
-    " PATH PWD PYTHONDONTWRITEBYTECODE PYTHONPATH PYTHONUNBUFFERED SHELL TEMP TERM TMP TMPDIR TZ USER VIRTUAL_ENV"
-).split()
+COMMON_VARIABLES = [
+    "CI", "COMPOSE_PROJECT_NAME", "DOCKER_HOST", "GITHUB_ACTIONS", "GITHUB_REF", "GITHUB_REPOSITORY", "GITHUB_SHA", "GITHUB_TOKEN", "HOME", "LANG",
+    "LC_ALL", "NODE_ENV", "NODE_OPTIONS", "NODE_PATH", "NPM_TOKEN", "PATH", "PWD", "PYTHONDONTWRITEBYTECODE", "PYTHONPATH", "PYTHONUNBUFFERED",
+    "SHELL", "TEMP", "TERM", "TMP", "TMPDIR", "TZ", "USER", "VIRTUAL_ENV",
+]
 # Names of sample files, the first that lists anything counts.
 ENV_SAMPLES = [".env.example", ".env.sample", ".env.template", "env.example", "env.sample"]
 
@@ -231,10 +232,12 @@ IMPORT_NAMES = {
     "python_multipart": "multipart", "pyyaml": "yaml", "ruamel_yaml": "ruamel", "scikit_learn": "sklearn",
 }
 # Packages that are run, not imported, by name or by beginning of the name.
-TOOLS = (
-    "bandit black build check_manifest coverage covdefaults debugpy flake8 flit flit_core hatch hatchling ipdb ipython isort maturin mkautodoc mkdocs mkdocs_material mypy mypy_extensions"
-    " myst_parser nox pip pip_audit poetry poetry_core pre_commit pylint pyright pytest ruff safety setuptools setuptools_scm sphinx sphinx_rtd_theme tox twine wheel"
-).split()
+TOOLS = [
+    "bandit", "black", "build", "check_manifest", "coverage", "covdefaults", "debugpy", "flake8", "flit", "flit_core", "hatch", "hatchling", "ipdb",
+    "ipython", "isort", "maturin", "mkautodoc", "mkdocs", "mkdocs_material", "mypy", "mypy_extensions", "myst_parser", "nox", "pip", "pip_audit",
+    "poetry", "poetry_core", "pre_commit", "pylint", "pyright", "pytest", "ruff", "safety", "setuptools", "setuptools_scm", "sphinx",
+    "sphinx_rtd_theme", "tox", "twine", "wheel",
+]
 TOOL_PREFIXES = ("flake8_", "mypy_", "pylint_", "pytest_", "trio_", "types_")
 
 

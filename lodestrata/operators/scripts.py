@@ -12,16 +12,19 @@ from lodestrata.operators.detectors import finding
 
 EXTENSIONS = ["js", "jsx", "ts", "tsx", "mjs", "cjs"]
 # Exports that frameworks and test runners use by name.
-ALWAYS_USED = (
-    "App DELETE GET HEAD OPTIONS PATCH POST PUT action afterAll afterEach beforeAll beforeEach default generateMetadata generateStaticParams getServerSideProps"
-    " getStaticPaths getStaticProps handler links loader main meta middleware setup teardown"
-).split()
+ALWAYS_USED = [
+    "App", "DELETE", "GET", "HEAD", "OPTIONS", "PATCH", "POST", "PUT", "action", "afterAll", "afterEach", "beforeAll", "beforeEach", "default",
+    "generateMetadata", "generateStaticParams", "getServerSideProps", "getStaticPaths", "getStaticProps", "handler", "links", "loader", "main",
+    "meta", "middleware", "setup", "teardown",
+]
 # Packages that are run or configured, not imported.
-TOOLS = (
-    "@changesets/changelog-github @changesets/cli @commitlint/cli @commitlint/config-conventional @manypkg/cli @types/hast @types/jest @types/node @types/react @types/react-dom autoprefixer biome"
-    " concurrently cross-env cypress dotenv-cli esbuild eslint husky jest lerna lint-staged mocha nodemon parcel playwright postcss prettier pretty-quick puppeteer rollup start-server-and-test"
-    " tailwindcss ts-node tsconfig-paths tsx turbo typescript vite vitest webpack"
-).split()
+TOOLS = [
+    "@changesets/changelog-github", "@changesets/cli", "@commitlint/cli", "@commitlint/config-conventional", "@manypkg/cli", "@types/hast",
+    "@types/jest", "@types/node", "@types/react", "@types/react-dom", "autoprefixer", "biome", "concurrently", "cross-env", "cypress", "dotenv-cli",
+    "esbuild", "eslint", "husky", "jest", "lerna", "lint-staged", "mocha", "nodemon", "parcel", "playwright", "postcss", "prettier", "pretty-quick",
+    "puppeteer", "rollup", "start-server-and-test", "tailwindcss", "ts-node", "tsconfig-paths", "tsx", "turbo", "typescript", "vite", "vitest",
+    "webpack",
+]
 TOOL_PREFIXES = ("@ianvs/prettier-plugin-", "@typescript-eslint/", "eslint-config-", "eslint-plugin-", "prettier-plugin-")
 
 

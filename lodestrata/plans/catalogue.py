@@ -348,11 +348,14 @@ def evaluation_per_detector(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"SELECT n AS total_findings, tp AS true_positives, x - tp AS missing, 0::BIGINT AS false_positives_found, tp/n AS precision, tp/x AS recall FROM (SELECT (SELECT count(*) FROM findings) n, (SELECT count(*) FROM {_TRUTH}) x, (SELECT count(*) FROM {_HIT}) tp)"
+    f"SELECT n AS total_findings, tp AS true_positives, x - tp AS missing, fps AS false_positives_found, tp/n AS precision, tp/x AS recall FROM (SELECT (SELECT count(*) FROM findings) n, (SELECT count(*) FROM {_TRUTH}) x, (SELECT count(*) FROM {_HIT}) tp, (SELECT count(DISTINCT e.entry) FROM (SELECT id AS entry, detector, regexp_replace(coalesce(file_path,''), '^.*/', '') AS file_path, title FROM findings WHERE status = 'false_positive') e"
+    " JOIN findings f ON f.detector = e.detector AND contains(coalesce(f.file_path,''), e.file_path) AND contains(lower(f.title), lower(e.title))) fps)"
 )
 def evaluation_totals(spark: SparkSession, sf: str) -> DataFrame:
     f = table(spark, sf, "findings")
-    return evaluation.totals(f, _truth(f))
+    name = F.regexp_replace(F.coalesce("file_path", F.lit("")), "^.*/", "")
+    wrong = f.filter("status = 'false_positive'").select(F.col("id").alias("entry"), "detector", name.alias("file_path"), "title")
+    return evaluation.totals(f, _truth(f), wrong)
 
 
 # --- chunks and vectors -------------------------------------------------------------------------------------------------
@@ -505,9 +508,9 @@ def test_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return detectors.test_implementation_pairs(_facts(spark, sf))
 
 
-@query("SELECT id, substr(sha256(prompt),1,16) AS prompt_hash, coalesce(r.response,'{}') AS response, r.response IS NOT NULL AS matched FROM (SELECT DISTINCT ON (id) * FROM llm_log) l LEFT JOIN (SELECT substr(sha256(prompt),1,16) AS h, min(response) AS response FROM llm_log WHERE id % 2 = 0 AND response IS NOT NULL GROUP BY 1) r ON r.h = substr(sha256(prompt),1,16)")
+@query("SELECT id, substr(sha256(prompt),1,16) AS prompt_hash, coalesce(r.response,'{}') AS response, r.response IS NOT NULL AS matched FROM (SELECT DISTINCT ON (id) * FROM llm_log) l LEFT JOIN (SELECT substr(sha256(prompt),1,16) AS h, min(response) AS response FROM llm_log WHERE response IS NOT NULL GROUP BY 1) r ON r.h = substr(sha256(prompt),1,16)")
 def replayed_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    """Every prompt with the response recorded for it under an even id, else a default."""
+    """Every prompt with the first recorded response to the same prompt, else a default."""
     log = table(spark, sf, "llm_log")
-    hashed = log.filter("id % 2 = 0 and response is not null").groupBy(F.substring(F.sha2("prompt", 256), 1, 16).alias("prompt_hash")).agg(F.min("response").alias("response"))
+    hashed = log.filter("response is not null").groupBy(F.substring(F.sha2("prompt", 256), 1, 16).alias("prompt_hash")).agg(F.min("response").alias("response"))
     return detectors.replayed(logs.delivered_once(log).select("id", "prompt"), hashed)
