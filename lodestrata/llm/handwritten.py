@@ -37,16 +37,16 @@ PACKED = r"(?i)[._-](?:min|bundle|chunk|umd)\.[cm]?js$"
 # What headers of tool-written files and of copies say, and what takes it back.
 _WRITTEN = re.compile(
     r"auto[\s_-]?(?:matically[\s_-])?gen|@generated|\bcode generated\b|\bgenerated (?:automatically )?(?:by|from|with|using|via|on)\b|\bmachine[- ]generated\b"
-    r"|\bdo(?: not|n't) (?:edit|modify|change|touch)\b|\b(?:edits?|changes|modifications)\b.{0,20}\b(?:overwritten|lost|discarded|clobbered)\b"
+    r"|\bdo(?: not|n't) (?:edit|modify|change|touch)\b(?=\W*$|[.!,;:)*-]| (?:this|it|them|manually|directly|by hand|here|the (?:file|output|contents?|generated))\b)|\b(?:edits?|changes|modifications)\b.{0,20}\b(?:overwritten|lost|discarded|clobbered)\b"
     r"|\binstead of editing\b|\b(?:built|compiled|produced|emitted|created|written)\b.{0,30}\bby (?:tools?/|the .{0,20}(?:tool|compiler|generator))|\bthis file (?:is|was) (?:produced|created|built|compiled|emitted)\b",
     re.I,
 )
 _COPIED = re.compile(
     r"\b(?:bundled|vendored|verbatim|unmodified|embedded) (?:copy|version)\b|\bcopied (?:verbatim )?from\b|\bvendored (?:from|in)\b|\bupstream:|\bsee upstream\b"
-    r"|\bbelongs? upstream\b|\bimported (?:unchanged|verbatim|unmodified|as is|from)\b|\b(?:third|3rd)[- ]party (?:code|file|copy|library)\b",
+    r"|\bbelongs? upstream\b|\bimported (?:unchanged|verbatim|unmodified|as is)\b|\bimported from (?:upstream|the upstream|https?:|github|[\w./@-]+ v?\d)|\b(?:third|3rd)[- ]party (?:code|file|copy|library)\b",
     re.I,
 )
-_TAKEN_BACK = re.compile(r"\bused to be\b|\bno longer\b|\bby hand\b|\bhand[- ](?:written|maintained|edited|rolled)\b|\bnot (?:auto[- ]?)?generated\b|\bonce (?:was )?generated\b|\bformerly\b", re.I)
+_TAKEN_BACK = re.compile(r"\bused to be\b|\bno longer\b|(?<!edit )(?<!modify )(?<!change )(?<!touch )\bby hand\b|\b(?:writ|read|emit|load|check|pars|render|compar|format|handl|return|consum|process|validat)(?:es|s)? (?:\w+ ){0,2}generated\b|\bhand[- ](?:written|maintained|edited|rolled)\b|\bnot (?:auto[- ]?)?generated\b|\bonce (?:was )?generated\b|\bformerly\b", re.I)
 _BANNER = re.compile(r"^/\*!.*\bv?\d+(?:\.\d+)+")
 _CONSTANTS = {"true", "false", "null", "none", "undefined", "nil"}
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[-+]?\b\d[\w.]*")

@@ -29,7 +29,20 @@ FUNCTION_WORDS = {
     "nl": "de het een en is in van dat die te op met voor niet zijn aan er als ook maar om uit door naar bij dan nog wel geen wordt worden werd was hebben heeft deze dit over onder tussen omdat wanneer hier daar zo meer al of hun hij zij we wij je kan zou moet alleen niet meer reeds",
     "pl": "i w na z do nie że się jest to o jak za od po ale przez dla tym ten ta te tego tej który która które są był była było już lub albo oraz tak czy może tylko bez przy nad pod ich jego jej więc ponieważ gdy kiedy też także",
     "sv": "och i att det som en på är av för med den till inte om har de ett var från men vid så kan ska när också efter eller under redan utan bara denna detta dessa där här han hon deras sin sitt sina blir blev mycket än eftersom",
+    "da": "og i at det som en på er af for med den til ikke om har de et var fra men han hun kan skal når også efter eller under kun uden denne dette disse hvor der blev bliver meget end fordi hvis hvad være",
+    "fi": "ja on ei se että oli hän mutta ovat kun niin kuin myös tai joka jotka tämä sen sekä jos vain ole olla mukaan vielä ne siitä koska mitä sitä voi kanssa ennen jälkeen",
+    "cs": "a v se na je že s z do o k i to jako za by pro ale jsou od po jeho už jen když tak který která které aby také nebo než bylo byl byla může být není podle při proto",
+    "ro": "și în de la a cu nu o pe că un este din care să mai ce pentru dar sunt fost după sau fi acest această prin are au era între când numai doar fără deja",
+    "hu": "a az és hogy nem is egy ez meg csak de már van volt ha mint vagy még mert el azt kell lesz ki be így sem ezt azonban lehet amely pedig nincs ezért",
+    "tr": "ve bir bu da de için ile çok daha olarak olan gibi ne ama kadar en ya var değil sonra ancak veya göre ise her mi o bunu hem çünkü zaten sadece yok değildir bulgu",
+    "id": "yang dan di dari untuk pada dengan ini itu tidak adalah dalam akan ke oleh juga sudah atau karena bisa telah ada saja dapat bahwa sebagai hanya harus tersebut belum",
 }
+# Letters of writing systems; one letter of those without blanks between words says as much as a word.
+SCRIPTS = {
+    "latin": r"[A-Za-zÀ-ɏḀ-ỿ]", "cyrillic": r"[Ѐ-ԯ]", "greek": r"[Ͱ-Ͽ]", "arabic": r"[؀-ۿ]", "hebrew": r"[֐-׿]", "devanagari": r"[ऀ-ॿ]",
+    "thai": r"[฀-๿]", "hangul": r"[가-힯]", "kana": r"[぀-ヿ]", "han": r"[㐀-鿿]",
+}
+_SCRIPTS = {k: re.compile(v) for k, v in SCRIPTS.items()}
 _LISTS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 
 # What stands for an answer without being one.
@@ -58,14 +71,48 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
+def _bare(text: str) -> str:
+    """A text without code spans, paths, names with underscores and calls."""
+    return re.sub(r"`[^`]*`|\S*[_/\\]\S*|\S+\(\)", " ", text)
+
+
+def _scores(text: str) -> dict[str, int]:
+    """Number of a text's words among the function words of each language."""
+    words = re.findall(r"[^\W\d_]+", _bare(text).lower())
+    return {k: sum(w in own for w in words) for k, own in _LISTS.items()}
+
+
 def language_of(text: str, least: int = 2) -> str | None:
     """The language whose function words are most frequent among a text's words; None where too few or even."""
-    bare = re.sub(r"`[^`]*`|\S*[_/\\]\S*|\S+\(\)", " ", text)
-    words = re.findall(r"[^\W\d_]+", bare.lower())
-    scores = sorted(((sum(w in own for w in words), k) for k, own in _LISTS.items()), reverse=True)
+    scores = sorted(((n, k) for k, n in _scores(text).items()), reverse=True)
     return scores[0][1] if scores[0][0] >= least and scores[0][0] > scores[1][0] else None
 
 
+def script_of(text: str, least: int = 12) -> str | None:
+    """The writing system of most of a text's letters; None for fewer than ``least`` of them (a third of it for Han and kana)."""
+    bare = _bare(text)
+    counts = sorted(((len(p.findall(bare)), k) for k, p in _SCRIPTS.items()), reverse=True)
+    n, script = counts[0]
+    if script in ("han", "kana", "hangul"):
+        n, script = n * 3, "cjk" if script != "hangul" else "hangul"
+    return script if n >= least and n > 1.5 * counts[1][0] else None
+
+
+def in_other_language(asked: str, told: str, least: int = 2) -> bool:
+    """Whether ``told`` is written in another system than ``asked``, or another language has more of its function words.
+
+    Nothing is said where ``asked`` shows no language, or ``told`` is too short to show one.
+    """
+    system = script_of(asked), script_of(told)
+    if all(system) and system[0] != system[1]:
+        return True
+    own = language_of(asked)
+    if own is None:
+        return False
+    scores = _scores(told)
+    return max(n for k, n in scores.items() if k != own) >= least and max(n for k, n in scores.items() if k != own) > scores[own]
+
+
 def _json_of(text: str) -> tuple[object, str | None]:
     """(parsed value or None, the JSON text of a response that is meant as JSON or None)."""
     start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
@@ -187,9 +234,8 @@ def judged(prompt: str, response: str | None) -> tuple[str | None, str | None, s
     how, core = ending(response)
     if declines(prose):
         return "refusal", how, core
-    asked = language_of(re.split(r"\n\s*\n", (prompt or "").strip(), maxsplit=1)[0])
-    told = language_of(prose)
-    return ("other_language" if asked and told and asked != told else None), how, core
+    asked = re.split(r"\n\s*\n", (prompt or "").strip(), maxsplit=1)[0]
+    return ("other_language" if in_other_language(asked, prose) else None), how, core
 
 
 def defects(log: DataFrame) -> DataFrame:
@@ -207,7 +253,8 @@ def defects(log: DataFrame) -> DataFrame:
 
     rows = log.select(log["id"].cast("long").alias("id"), F.coalesce("model", F.lit("")).alias("model"), F.col("tokens_generated").cast("long").alias("tokens"), "prompt", "response")
     ruled = rows.filter("id is not null").mapInArrow(rules, "id long, model string, tokens long, rule string, how string, core string")
-    ruled = materialize(ruled.dropDuplicates(["id"]), "ruled")
+    first = F.min(F.struct("rule", "how", "core", "model", "tokens")).alias("r")  # deliveries that differ: the same one every time
+    ruled = materialize(ruled.groupBy("id").agg(first).select("id", "r.model", "r.tokens", "r.rule", "r.how", "r.core"), "ruled")
 
     limits = _spikes(ruled)
     shortened = _shortened(ruled.filter("how <> 'complete'").select("core"), ruled.select("core"))

@@ -148,6 +148,8 @@ GOOD = '{"is_real": true, "reasoning": "The helper is not as long as the report
         (ASK, ASK.split("\n\n", 1)[1].upper(), "copied_prompt"), (ASK, json.dumps({"summary": ASK.split("\n\n", 1)[1]}), "copied_prompt"), (ASK, ASK.split("\n\n", 1)[1] + "\n" + GOOD + " It is what the code says and nothing else in here.", None),
         (ASK, "Der Befund betrifft nur den Testcode und ist daher gering.", "other_language"), (ASK_DE, "Der Befund betrifft nur den Testcode und ist daher gering.", None),
         (ASK_DE, "The finding is only about the code of a test.", "other_language"), (ASK, "O achado só aparece nos testes e por isso não pesa.", "other_language"), (None, GOOD, None), (ASK, "No.", None),
+        (ASK, "Эта находка относится только к тестовому коду и поэтому не важна.", "other_language"), (ASK, "这个问题只出现在测试代码中,因此并不重要。", "other_language"), (ASK, "この指摘はテストコードだけに関するものなので重要ではありません。", "other_language"),
+        (ASK, "Bu bulgu sadece test kodu için geçerli ve bu yüzden çok önemli değil.", "other_language"), (ASK, "The label 'тест' is right as it is, and the scanner is wrong.", None),
     ],
 )
 def test_defects(prompt, response, defect):
@@ -225,6 +227,15 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(spark.createDataFrame([], FILES)).count() == 0
 
 
+def test_notices_speak_of_their_own_file():
+    for head in ("# Do not change the order of these imports", "// This module writes generated from templates", "# imported from the settings module at start", "# Checks code generated by others."):
+        assert handwritten.notice(head) is None, head
+    for head in ("# DO NOT EDIT.", "// Do not edit this file", "# Do not edit by hand", "/* generated by x-gen 1.2 */", "# Do not modify: changes are lost"):
+        assert handwritten.notice(head) == "written", head
+    for head in ("# Imported unchanged from box", "// imported from https://example.org/box", "# imported from box 1.2"):
+        assert handwritten.notice(head) == "copied", head
+
+
 def test_looks_are_learnt_from_notices(spark):
     rng = np.random.default_rng(5)
     body = lambda: "".join(f"def f{int(i)}(path, key):\n    # reads {int(i)} again\n    return path.open(key) if key else None\n\n\n" for i in rng.integers(0, 99, 4 + int(rng.integers(0, 9))))
