@@ -34,7 +34,7 @@ _LIST = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 _SKIPPED = re.compile(r"\s*(?:#{1,6}\s|[=-]{3,}\s*$|```)")
 _BLOCK = re.compile(r"\n[ \t\r]*\n")
 _END = re.compile(r"(?<=[.!?])\s+")
-_BEYOND, _MIXED, _ITEM = re.compile(r"[^\x00-\x7f]+"), re.compile(r"\S*[_\d/]\S*"), re.compile(r"[a-z]{2,}")
+_BEYOND, _MIXED, _ITEM = re.compile(r"[^\x00-\x7f]+"), re.compile(r"[_\d/]"), re.compile(r"[a-z]{2,}")
 
 
 def paragraphs(text: str) -> list[list[str]]:
@@ -63,8 +63,14 @@ def items(sentence: str) -> list[str]:
     """
     if not sentence.isascii():
         sentence = _BEYOND.sub("", unicodedata.normalize("NFC", sentence).replace("’", " "))
-    plain = _MIXED.sub(" ", sentence.replace("'", " ").lower())
-    return list(dict.fromkeys(_ITEM.findall(plain)))
+    out: dict[str, None] = {}
+    for word in sentence.replace("'", " ").lower().split():
+        if word.isalpha():
+            if len(word) > 1:
+                out[word] = None
+        elif not _MIXED.search(word):
+            out.update(dict.fromkeys(_ITEM.findall(word)))
+    return list(out)
 
 
 class Rules:
@@ -92,13 +98,15 @@ class Rules:
         self.index(lambda sure: sure)
 
     def index(self, calibrated: Callable[[float], float]) -> None:
-        """Rules by their first item, with the log-odds of the calibrated confidence."""
-        self.by_first: dict[str, list[tuple[tuple[str, ...], int, float]]] = {}
+        """Rules with the log-odds of their calibrated confidence, by that item of theirs which the fewest rules have."""
+        self.by_item: dict[str, list[tuple[tuple[str, ...], int, float]]] = {}
         place = {s: i for i, s in enumerate(self.subjects)}
+        often = Counter(x for a in self.sure for x in a)
         for antecedent, (subject, sure) in self.sure.items():
             p = min(max(calibrated(sure), 0.5), 1 - 1e-6)
             if p > 0.5:
-                self.by_first.setdefault(antecedent[0], []).append((antecedent[1:], place[subject], math.log(p / (1 - p))))
+                item = min(antecedent, key=lambda x: (often[x], x))
+                self.by_item.setdefault(item, []).append((tuple(x for x in antecedent if x != item), place[subject], math.log(p / (1 - p))))
 
     @staticmethod
     def _parts(a: tuple[str, ...]) -> list[tuple[str, ...]]:
@@ -108,11 +116,12 @@ class Rules:
 
     def evidence(self, own: list[str]) -> dict[int, float]:
         """Evidence of a set of items for each subject (by place): the sum over all rules that it meets."""
-        have, score = set(own), {}
-        for first in own:
-            for rest, subject, odds in self.by_first.get(first, ()):
-                if not rest or have.issuperset(rest):
-                    score[subject] = score.get(subject, 0.0) + odds
+        have, score, by_item = set(own), {}, self.by_item
+        for item in own:
+            if item in by_item:
+                for rest, subject, odds in by_item[item]:
+                    if not rest or have.issuperset(rest):
+                        score[subject] = score.get(subject, 0.0) + odds
         return score
 
     def kept(self, held: list[tuple[str, list[str]]], bins: int = 5, prior: float = 2.0) -> Callable[[float], float]:
