@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import wordsets
-from lodestrata.storage import Shared, delete_path, discard, list_names, materialize, temporary_path, write_text
+from lodestrata.storage import Shared, delete_path, discard, joined, list_names, materialize, temporary_path, write_text
 
 #: Open records and links up to which the rest of a batch is decided one by one in a single task.
 FEW = 200_000
@@ -256,33 +256,33 @@ def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep:
     blocked = suppressed.select("fp")
     if history.accepted:
         blocked = blocked.unionByName(history.known().select("fp"))
-    units = units.join(blocked, "fp", "left_anti")
+    units = joined(units, blocked, "fp", "left_anti")
     if history.accepted:
-        units = units.join(history.known().select("ck"), "ck", "left_anti")
+        units = joined(units, history.known().select("ck"), "ck", "left_anti")
     units = materialize(units, "units", dictionary=False)
-    fresh = rows.join(units.select("ck"), "ck", "left_semi") if history.accepted else rows
+    fresh = joined(rows, units.select("ck"), "ck", "left_semi") if history.accepted else rows
     classes = wordsets.classes(fresh)
     if history.signer is None:
         history.signer = wordsets.Signer(wordsets.word_weights(classes), bands=history.bands, rows=history.rows)
-    units = units.join(classes.select("ck", "rep"), "ck")
+    units = joined(units, classes.select("ck", "rep"), "ck")
     links, covered = _links(history, classes)
-    opened = materialize(units.join(covered, "rep", "left_anti").select("fp", "ck", "rep", "pos"), "open", dictionary=False)
+    opened = materialize(joined(units, covered, "rep", "left_anti").select("fp", "ck", "rep", "pos"), "open", dictionary=False)
 
     taken: list[DataFrame] = []
     while (left := opened.count()) and (left > few or links.count() > few):
         by_rep = opened.groupBy("rep").agg(F.min("pos").alias("first"))
-        linked = links.join(by_rep.select(F.col("rep").alias("b"), F.col("first").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        by_rep = by_rep.join(linked.withColumnRenamed("a", "rep"), "rep", "left")
+        linked = joined(links, by_rep.select(F.col("rep").alias("b"), F.col("first").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
+        by_rep = joined(by_rep, linked.withColumnRenamed("a", "rep"), "rep", "left")
         by_fp = opened.filter("fp is not null").groupBy("fp").agg(F.min("pos").alias("same"))
-        state = opened.join(by_rep, "rep").join(by_fp, "fp", "left")
+        state = joined(joined(opened, by_rep, "rep"), by_fp, "fp", "left")
         wins = state.filter("pos = first and (near is null or pos < near) and (same is null or pos = same)")
         wins = materialize(wins.select("fp", "ck", "rep", "pos"), "wins", dictionary=False)
         taken.append(wins)
-        gone = wins.select("rep").union(links.join(wins.select(F.col("rep").alias("a")), "a").select("b")).distinct()
-        rest = opened.join(gone, "rep", "left_anti").join(wins.filter("fp is not null").select("fp").distinct(), "fp", "left_anti")
+        gone = wins.select("rep").union(joined(links, wins.select(F.col("rep").alias("a")), "a").select("b")).distinct()
+        rest = joined(joined(opened, gone, "rep", "left_anti"), wins.filter("fp is not null").select("fp").distinct(), "fp", "left_anti")
         opened = materialize(rest, "open", dictionary=False)
         reps = opened.select("rep").distinct()
-        links = links.join(reps.withColumnRenamed("rep", "a"), "a", "left_semi").join(reps.withColumnRenamed("rep", "b"), "b", "left_semi")
+        links = joined(joined(links, reps.withColumnRenamed("rep", "a"), "a", "left_semi"), reps.withColumnRenamed("rep", "b"), "b", "left_semi")
         links = materialize(links, "links", dictionary=False)
     if left:
         taken.append(materialize(_one_by_one(opened, links), "wins", dictionary=False))
@@ -291,9 +291,9 @@ def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep:
         return rows.select("id")
     wins = reduce(DataFrame.unionByName, taken)
     if keep:
-        history.add(wins.select("fp", "ck", "rep").join(classes.select("rep", "words"), "rep").select("fp", "ck", "rep", "words"))
+        history.add(joined(wins.select("fp", "ck", "rep"), classes.select("rep", "words"), "rep").select("fp", "ck", "rep", "words"))
         history.save()
-    return rows.join(wins.select("pos"), "pos", "left_anti").select("id")
+    return joined(rows, wins.select("pos"), "pos", "left_anti").select("id")
 
 
 def covered(

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.storage import materialize
+from lodestrata.storage import joined, materialize
 
 #: Words in at least this part of the classes have a weight of their own, if they are among the LEADING most frequent.
 FREQUENT = 0.005
@@ -237,7 +237,7 @@ def verified(pairs: DataFrame, words_a: DataFrame, words_b: DataFrame, tenths: i
     """Those pairs (a, b) whose word sets' Jaccard similarity is at least tenths / 10, computed exactly."""
     a = words_a.select(F.col("rep").alias("a"), F.col("words").alias("wa"))
     b = words_b.select(F.col("rep").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(a, "a").join(b, "b").withColumns({"wa": F.split("wa", " "), "wb": F.split("wb", " ")})
+    both = joined(joined(pairs, a, "a"), b, "b").withColumns({"wa": F.split("wa", " "), "wb": F.split("wb", " ")})
     both = both.withColumn("shared", F.size(F.array_intersect("wa", "wb")))
     both = both.withColumn("either", F.size("wa") + F.size("wb") - F.col("shared"))
     return both.filter(F.col("shared") * 10 >= F.col("either") * tenths).select("a", "b", (F.col("shared") / F.col("either")).alias("similarity"))

@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str = "t", dictionary: bool = True) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """An equi-join of tables that grow with the input: by a shuffle, never by a broadcast.
+
+    Spark takes a table that was written for as large as its compressed files, cut by the width that it expects of the columns
+    read; texts in memory are many times that, and a broadcast of them ends the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _folder(spark: SparkSession, path: str) -> tuple:
     """A folder and its file system, as Hadoop objects."""
     context = spark.sparkContext

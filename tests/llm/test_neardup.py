@@ -175,3 +175,16 @@ def test_rare_edits_are_covered(spark):
 def test_rare_edits_are_linked(spark):
     near = neardup.near_duplicates(spark.createDataFrame(rare_edits(), SCHEMA), "id", ["title", "description"], tenths=7)
     assert {tuple(r) for r in near.pairs().collect()} == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
+def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
+    # Written tables: their compressed files are far below the threshold at which Spark broadcasts.
+    rows = corpus(60, seed=8)
+    keyed = wordsets.keyed(spark.createDataFrame(rows, SCHEMA), ["title", "description"], "id")
+    classes = wordsets.classes(keyed)
+    pairs = classes.select(classes["rep"].alias("a"), classes["rep"].alias("b"))
+    plan = wordsets.verified(pairs, classes, classes, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    got = incremental.covered(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("f1",)], "fp string"), ["title", "description"], "run_id")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r[0] for r in got.collect()} == sequential(rows, {"f1"})
