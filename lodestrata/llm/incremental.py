@@ -195,17 +195,11 @@ def _windows(history: History, own: DataFrame) -> DataFrame:
 def _links(history: History, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((a, b) of similar classes of the batch, in both directions; (rep,) classes similar to an accepted one), both written."""
     own = wordsets.signed(classes, history.signer)
-    like = wordsets.agreeing("x", "y", history.tenths, history.miss)
-    same = (F.col("x.key") == F.col("y.key")) & like
-    pair = [F.col("x.rep").alias("a"), F.col("y.rep").alias("b")]
+    rows = own.withColumn("old", F.lit(False))
     if history.runs:
         own = materialize(own, "own", dictionary=False)
-    met = own.alias("x").join(own.alias("y"), same & (F.col("x.rep") < F.col("y.rep"))).select(*pair, F.lit(False).alias("old"))
-    met = met if history.runs else met.distinct()
-    if history.runs:
-        valid = F.col("x.rep").isNotNull()  # as the comparison above implies, so that both joins share an exchange
-        old = own.alias("x").join(_windows(history, own).alias("y"), same & valid).select(*pair, F.lit(True).alias("old"))
-        met = materialize(met.unionByName(old).distinct(), "met", dictionary=False)
+        rows = own.withColumn("old", F.lit(False)).unionByName(_windows(history, own).withColumn("old", F.lit(True)))
+    met = wordsets.met(rows, history.tenths, history.miss).distinct()
     inner = wordsets.verified(met.filter("not old").select("a", "b"), classes, classes, history.tenths).select("a", "b")
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("l")
     inner = materialize(inner.select(both).select("l.a", "l.b"), "links", dictionary=False)
@@ -293,6 +287,7 @@ def accept_batch(history: History, rows: DataFrame, suppressed: DataFrame, keep:
     if keep:
         history.add(joined(wins.select("fp", "ck", "rep"), classes.select("rep", "words"), "rep").select("fp", "ck", "rep", "words"))
         history.save()
+    discard(units, opened, links, covered)  # and the classes, which units are joined with
     return joined(rows, wins.select("pos"), "pos", "left_anti").select("id")
 
 

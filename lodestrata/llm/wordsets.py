@@ -8,6 +8,7 @@ cost one row. Sets without any word are only the same if their texts are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.storage import joined, materialize
 
@@ -35,26 +37,37 @@ SIGNATURE = ["bits", "odd0", "odd1"]
 WIDEST = 512
 
 
-def word_string(*texts: Column) -> Column:
-    """The sorted distinct words of the texts, joined by blanks."""
-    text = F.lower(F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts)))
-    return F.array_join(F.sort_array(F.array_distinct(F.array_remove(F.split(text, "[^a-z0-9]+"), ""))), " ")
+#: ASCII letters and digits in lower case, blanks for all other bytes; so a byte of a longer UTF-8 character is none of a word.
+_WORD_BYTES = bytes(c if 97 <= c <= 122 or 48 <= c <= 57 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
+#: Rows of one key up to which one task compares them (8 million pairs).
+HOT = 4096
 
-def class_key(*texts: Column) -> Column:
-    """16 bytes that are equal for equal word sets (for equal texts where there are no words).
 
-    Written so that Spark computes the words once and never in a filter: never null, no branch that holds them.
+def keyed(records: DataFrame, texts: list[str], *others: Column | str) -> DataFrame:
+    """(others..., ck, words) of records.
+
+    ``words``: the sorted distinct words of the texts, joined by blanks. ``ck``: 16 bytes that are equal for equal word sets
+    (for equal texts where there are no words).
     """
-    whole = F.concat_ws(" ", *(F.coalesce(t, F.lit("")) for t in texts))
-    blank = F.when(~F.lower(whole).rlike("[a-z0-9]"), whole)
-    return F.coalesce(F.unhex(F.md5(F.concat_ws("\n", word_string(*texts), blank).cast("binary"))), F.lit(b""))
+    whole = F.concat_ws(" ", *(F.coalesce(records[t], F.lit("")) for t in texts))
+    rows = records.select(*others, whole.alias("whole"))
 
+    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keys, found = [], []
+            for text in batch["whole"].cast(pa.binary()).to_pylist():
+                low = text if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+                words = b" ".join(sorted(set(low.translate(_WORD_BYTES).split())))
+                found.append(words)
+                keys.append(md5(words or b"\n" + text, usedforsecurity=False).digest())
+            at = batch.schema.get_field_index("whole")
+            names = [n for n in batch.schema.names if n != "whole"]
+            cols = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(keys, pa.binary()), pa.array(found, pa.binary()).cast(pa.string())], [*names, "ck", "words"])
 
-def keyed(records: DataFrame, texts: list[str], *others: Column | str) -> DataFrame:
-    """(others..., ck, words) of records."""
-    cols = [records[t] for t in texts]
-    return records.select(*others, class_key(*cols).alias("ck"), word_string(*cols).alias("words"))
+    kept = T.StructType([f for f in rows.schema.fields if f.name != "whole"])
+    return rows.mapInArrow(split, kept.add("ck", "binary").add("words", "string"))
 
 
 def classes(keys: DataFrame) -> DataFrame:
@@ -233,6 +246,74 @@ def agreeing(x: str, y: str, tenths: int, miss: float) -> Column:
     return minhashes & (half <= most(PARITIES // 2)) & (half + F.bit_count(differ("odd1")) <= most(PARITIES))
 
 
+def met(rows: DataFrame, tenths: int, miss: float) -> DataFrame:
+    """(a, b, old), some several times: pairs of ``rows`` (key, rep, SIGNATURE..., old) of equal key that ``agreeing`` passes.
+
+    a is never old; b is, or is greater than a. A task sorts the keys dealt to it and looks at those pairs only. The rows of a
+    key that has more than HOT of them are handed on to a join, which Spark splits if it is skewed; so no task is left with
+    all their pairs. What the tasks find is written once.
+    """
+    apart = MINHASHES - bit_threshold(tenths / 10, miss)
+    half, whole = (np.array([*parity_thresholds(tenths, miss, bits), PARITIES]) for bits in (PARITIES // 2, PARITIES))
+    hottest, names = HOT, ["a", "b", "old", "key", *SIGNATURE]
+
+    def batch_of(n: int, **cols: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[c]) if c in cols else pa.nulls(n, pa.int64()) for c in names], names)
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = [b for b in it if b.num_rows]
+        if not dealt:
+            return
+        table = pa.Table.from_batches(dealt)
+        key = table["key"].to_numpy()
+        at = np.argsort(key)
+        same = key[at[1:]] == key[at[:-1]]
+        at = at[np.append(same, False) | np.append(False, same)]  # most keys have one row, and are done
+        if not len(at):
+            return
+        key, rep, bits, odd0, odd1, old = (table[c].to_numpy(zero_copy_only=False)[at] for c in ("key", "rep", *SIGNATURE, "old"))
+        at = np.lexsort((rep, old, key))
+        key, rep, bits, odd0, odd1, old = key[at], rep[at], bits[at].view(np.uint64), odd0[at].view(np.uint64), odd1[at].view(np.uint64), old[at]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        ends, hot = np.repeat(starts + sizes, sizes), np.repeat(sizes > hottest, sizes)
+        for i in range(0, int(hot.sum()), 1 << 16):
+            r = np.flatnonzero(hot)[i : i + (1 << 16)]
+            yield batch_of(len(r), a=rep[r], old=old[r], key=key[r], bits=bits[r].view(np.int64), odd0=odd0[r].view(np.int64), odd1=odd1[r].view(np.int64))
+        size, found, n = bits & np.uint64(0xFFFF), [], 0
+        left, step = np.flatnonzero(~old & ~hot), 1
+        while len(left := left[left + step < ends[left]]):  # pairs of a row and the one ``step`` rows on
+            for i in range(0, len(left), 1 << 18):
+                x = left[i : i + (1 << 18)]
+                x = x[np.bitwise_count((bits[x] ^ bits[x + step]) >> np.uint64(16)) <= apart]
+                words = np.minimum(size[x] + size[x + step], np.uint64(WIDEST + 1)).astype(np.int64)
+                odd = np.bitwise_count(odd0[x] ^ odd0[x + step])
+                fit = odd <= half[words]
+                x, words, odd = x[fit], words[fit], odd[fit]
+                x = x[odd.astype(np.int64) + np.bitwise_count(odd1[x] ^ odd1[x + step]) <= whole[words]]
+                found.append((rep[x], rep[x + step], old[x + step]))
+                n += len(x)
+            step += 1
+            if n > 1 << 16 or len(found) > 1 << 12:
+                a, b, o = (np.concatenate(c) for c in zip(*found))
+                yield batch_of(n, a=a, b=b, old=o)
+                found, n = [], 0
+        if n:
+            a, b, o = (np.concatenate(c) for c in zip(*found))
+            yield batch_of(n, a=a, b=b, old=o)
+
+    schema = "a long, b long, old boolean, key long, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    rows = rows.select("key", "rep", *SIGNATURE, "old")
+    found = materialize(rows.repartition("key").mapInArrow(compare, schema), "met", dictionary=False)
+    pairs = found.filter("b is not null").select("a", "b", "old")
+    hot = found.filter("b is null").select("key", F.col("a").alias("rep"), *SIGNATURE, "old")
+    if hot.isEmpty():
+        return pairs
+    x, y = hot.filter("not old").alias("x"), hot.hint("merge").alias("y")
+    like = (F.col("x.key") == F.col("y.key")) & (F.col("y.old") | (F.col("x.rep") < F.col("y.rep"))) & agreeing("x", "y", tenths, miss)
+    return pairs.unionByName(x.join(y, like).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), "y.old"))
+
+
 def verified(pairs: DataFrame, words_a: DataFrame, words_b: DataFrame, tenths: int) -> DataFrame:
     """Those pairs (a, b) whose word sets' Jaccard similarity is at least tenths / 10, computed exactly."""
     a = words_a.select(F.col("rep").alias("a"), F.col("words").alias("wa"))

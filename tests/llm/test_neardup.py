@@ -188,3 +188,24 @@ def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
     got = incremental.covered(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([("f1",)], "fp string"), ["title", "description"], "run_id")
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r[0] for r in got.collect()} == sequential(rows, {"f1"})
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_tasks_meet_the_pairs_that_a_join_meets(spark, monkeypatch, hot):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(wordsets, "HOT", hot)  # with 3, keys of more than three rows are left to a join
+    keyed = wordsets.keyed(spark.createDataFrame(corpus(60, seed=8), SCHEMA), ["title", "description"], "id")
+    signed = wordsets.signed(wordsets.classes(keyed), wordsets.Signer({}, 8, 2)).withColumn("old", F.col("rep") % 3 == 0).localCheckpoint()
+    x, y = signed.alias("x"), signed.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & ~F.col("x.old") & (F.col("y.old") | (F.col("x.rep") < F.col("y.rep")))
+    want = x.join(y, same & wordsets.agreeing("x", "y", 7, 0.0001)).select("x.rep", "y.rep", "y.old").distinct()
+    got = [tuple(r) for r in wordsets.met(signed, 7, 0.0001).distinct().collect()]
+    assert got and sorted(got) == sorted(tuple(r) for r in want.collect())
+
+
+def test_words_are_ascii_letters_and_digits(spark):
+    rows = [(1, "B-a_b A9", None), (2, "\u212aelvin", "\u00e9t\u00e9 x"), (3, None, None), (4, "!\u00e9", ""), (5, "!", "")]
+    got = {r["id"]: (r["words"], bytes(r["ck"])) for r in wordsets.keyed(spark.createDataFrame(rows, "id long, t string, d string"), ["t", "d"], "id").collect()}
+    assert [got[i][0] for i in range(1, 6)] == ["a a9 b", "kelvin t x", "", "", ""]
+    assert len({k for _, k in got.values()}) == 5 and all(len(k) == 16 for _, k in got.values())
