@@ -2,7 +2,8 @@
 
 * Centroids come from a bounded sample, split in halves at the median until each part has about ``list_size`` vectors of
   the whole; so a region that holds a third of all vectors gets a third of the lists.
-* A graph of near centroids, kept in memory by every worker, is searched greedily with a beam for the lists of a vector.
+* The lists of a vector are those of the nearest centroids among all of them, which every worker keeps in memory; beyond
+  SCANNED centroids, a graph of near ones is searched greedily with a beam instead.
 * Lists are selected by their distance ratio: a vector looks into those whose centroid is at most ``1 + slack`` times as
   far as the nearest, and the first ``replicas`` of these also hold it, so boundary vectors are in several lists.
 * Within a list similarities are one matrix product. A pair found from either side counts for both.
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.storage import Shared, materialize
 
+#: Centroids up to which a vector is compared with all of them. A greedy search of their graph finds the nearest of 16,384
+#: for a fifth of the vectors only, and costs about as much; the sample of ``nearest`` bounds the centroids to as many.
+SCANNED = 1 << 16
+
 
 class Lists:
     """Centroids of the posting lists of one group of vectors, and the graph to find the nearest of them."""
@@ -37,6 +42,8 @@ class Lists:
         centres = np.stack([p.mean(axis=0) for p in parts if len(p)])
         self.centres = (centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)).astype(np.float32)
         k = len(self.centres)
+        if k <= SCANNED:
+            return
         degree = min(degree, k)
         near = np.empty((k, degree), np.int32)
         for i in range(0, k, 1024):
@@ -61,7 +68,10 @@ class Lists:
 
     def search(self, queries: np.ndarray, beam: int, steps: int = 12, expand: int = 2) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, similarities) of each query's best ``beam`` centroids found, best first."""
-        n, k = len(queries), len(self.centres)
+        if len(self.centres) <= SCANNED:
+            parts = [self._scan(queries[i : i + 256], beam) for i in range(0, max(1, len(queries)), 256)]
+            return tuple(np.concatenate(x) for x in zip(*parts))
+        n = len(queries)
         ids = np.broadcast_to(self.entries, (n, len(self.entries))).copy()
         sims = queries @ self.centres[self.entries].T
         done = np.zeros(ids.shape, bool)
@@ -86,6 +96,22 @@ class Lists:
         order = np.argsort(-sims, axis=1)
         return ids[row, order], sims[row, order]
 
+    def _scan(self, queries: np.ndarray, best: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """The same by comparing all centroids; the best are in the blocks with the best maxima, so only these are sorted."""
+        sims = queries @ self.centres.T
+        n, k = sims.shape
+        best, row = min(best, k), np.arange(n)[:, None]
+        ids = np.broadcast_to(np.arange(k), (n, k))
+        if k > best * block:
+            sims = np.pad(sims, ((0, 0), (0, -k % block)), constant_values=-np.inf) if k % block else sims
+            blocks = sims.reshape(n, -1, block)
+            top = np.argpartition(-blocks.max(axis=2), best - 1, axis=1)[:, :best]
+            sims = blocks[row, top].reshape(n, -1)
+            ids = (top[:, :, None] * block + np.arange(block)).reshape(n, -1)
+        take = np.argpartition(-sims, best - 1, axis=1)[:, :best]
+        take = take[row, np.argsort(-sims[row, take], axis=1, kind="stable")]
+        return ids[row, take].astype(np.int32), sims[row, take]
+
 
 def unit_vectors(rows: DataFrame, id_col: str, group: str, file_cols: list[str], vector: str) -> DataFrame:
     """(grp, id, file, same, v): unit float32 vectors as bytes; ``same`` is equal for equal directions (5 decimals).
@@ -215,7 +241,7 @@ def _limited(hits: DataFrame, by: str, k: int) -> DataFrame:
 
 def nearest(
     rows: DataFrame, id_col: str, group: str, file_cols: list[str], vector: str, k: int = 5, least: float = 0.9,
-    list_size: int = 256, sample: int = 32768, probes: int = 6, replicas: int = 3, slack: float = 0.2,
+    list_size: int = 256, sample: int = 32768, probes: int = 10, replicas: int = 5, slack: float = 0.2,
 ) -> DataFrame:
     """(id, neighbour, cos, rank): for every row its at most k most similar rows of other files within its group.
 
